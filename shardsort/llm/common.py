@@ -127,3 +127,17 @@ class KeyFilter:
         words = np.zeros(bits >> 6, np.uint64)
         words[merged["word"].to_numpy()] = merged["bits"].to_numpy().view(np.uint64)
         return cls(bits, words)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like the given one that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def table_of_at_most(df: DataFrame, rows: int) -> DataFrame:
+    """Hint that df be sent to every task, but only if it is counted to be within the bound."""
+    counted = durable(df)
+    return F.broadcast(counted) if counted.count() <= rows else counted

@@ -8,12 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from shardsort.llm import bpe, licenses, url_filter
+from shardsort.llm import bpe, exact_dedup, licenses, mixing, url_filter
 from shardsort.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.mark_copies(table(spark, sf_dir, "documents")).drop("keep_rows")
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
@@ -28,6 +36,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_exact_dedup": op1_exact_dedup,
+        "op2_mixing": op2_mixing,
         "op3_bpe": op3_bpe,
         "op9_licenses": op9_licenses,
         "op10_url_filter": op10_url_filter,
@@ -35,4 +45,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filter": url_filter.ORACLE}
+    return {
+        "op1_exact_dedup": exact_dedup.ORACLE,
+        "op2_mixing": mixing.ORACLE,
+        "op10_url_filter": url_filter.ORACLE,
+    }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from shardsort.llm import bpe, exact_dedup, licenses, mixing, url_filter
+from shardsort.llm import bpe, exact_dedup, licenses, mixing, quality, url_filter
 from shardsort.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -26,6 +26,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.labelled(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_dedup": op1_exact_dedup,
         "op2_mixing": op2_mixing,
         "op3_bpe": op3_bpe,
+        "op5_quality": op5_quality,
         "op9_licenses": op9_licenses,
         "op10_url_filter": op10_url_filter,
     }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from shardsort.llm import bpe, exact_dedup, licenses, mixing, quality, url_filter
+from shardsort.llm import bpe, chat, exact_dedup, licenses, mixing, quality, url_filter
 from shardsort.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -26,6 +26,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.with_probe(table(spark, sf_dir, "conversations"))
+    return chat.chat_digests(chat.format_chats(chat.events_of(turns)))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,6 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_dedup": op1_exact_dedup,
         "op2_mixing": op2_mixing,
         "op3_bpe": op3_bpe,
+        "op4_chat": op4_chat,
         "op5_quality": op5_quality,
         "op9_licenses": op9_licenses,
         "op10_url_filter": op10_url_filter,
@@ -53,5 +59,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.ORACLE,
         "op2_mixing": mixing.ORACLE,
+        "op4_chat": chat.ORACLE,
         "op10_url_filter": url_filter.ORACLE,
     }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from shardsort.llm import ann, bpe, chat, exact_dedup, licenses, mixing, quality, url_filter
+from shardsort.llm import ann, bpe, chat, exact_dedup, html_extract, licenses, mixing, quality, url_filter
 from shardsort.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -35,6 +35,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
@@ -54,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bpe": op3_bpe,
         "op4_chat": op4_chat,
         "op5_quality": op5_quality,
+        "op6_html_extract": op6_html_extract,
         "op8_ann": op8_ann,
         "op9_licenses": op9_licenses,
         "op10_url_filter": op10_url_filter,

@@ -1,10 +1,12 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
-A pre-token's symbols form a linked list over its bytes. Every adjacent pair whose joined bytes
-have a rank waits in the bucket of that rank, by its left position. Three levels of 64-bit words
-say which buckets hold anything, so the next rank is two find-first-set steps away; entries whose
-pair has changed since they were queued are skipped when they come up. A pre-token of n bytes costs
-O(n log n) whatever its length, so very long ones (a run of one character, say) need no cap.
+The symbols of the pre-tokens to be encoded form a linked list over their joined bytes, with edges
+between pre-tokens that no pair crosses. Every adjacent pair whose bytes have a rank waits in the
+bucket of that rank, by its left position. Two levels of 256-bit words say which buckets hold
+anything, so the next rank is two find-first-set steps away; entries whose pair has changed since
+they were queued are skipped when they come up. n bytes cost O(n log n) whatever the length of a
+pre-token, so very long ones (a run of one character, say) need no cap. One queue serves many short
+pre-tokens at once, which spreads the cost of its bitmaps.
 """
 
 from __future__ import annotations
@@ -12,7 +14,6 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from heapq import heappop, heappush
 
 import pyarrow as pa
 import regex
@@ -21,10 +22,12 @@ from pyspark.sql import functions as F
 
 from shardsort.llm.common import arrow_rows, bounded_batches, widened
 
-#: Distinct pre-tokens whose ids a worker remembers before it starts afresh.
-MEMO_ENTRIES = 800_000
+#: Distinct pre-tokens in one generation of the ids that a worker remembers; it has two.
+MEMO_ENTRIES = 200_000
 #: Longer pre-tokens are encoded each time, so that the memory of the memo is bounded.
 MEMO_CHARS = 64
+#: Texts are split and pre-tokens queued in lots of about so many characters and bytes.
+SPLIT_CHARS, QUEUE_BYTES = 2_000_000, 30_000
 
 
 def read_ranks(lines: Iterable[bytes]) -> dict[bytes, int]:
@@ -32,119 +35,150 @@ def read_ranks(lines: Iterable[bytes]) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-class RankQueue:
-    """Positions waiting by rank; the lowest rank first, and within it the leftmost position."""
-
-    def __init__(self, ranks: int):
-        self.buckets: list[list[int] | None] = [None] * ranks
-        self.low = [0] * ((ranks >> 6) + 1)
-        self.mid = [0] * ((ranks >> 12) + 1)
-        self.top = 0
-
-    def push(self, rank: int, at: int) -> None:
-        bucket = self.buckets[rank]
-        if bucket is not None:
-            heappush(bucket, at)
-            return
-        self.buckets[rank] = [at]
-        word = rank >> 6
-        if not self.low[word]:
-            block = word >> 6
-            if not self.mid[block]:
-                self.top |= 1 << block
-            self.mid[block] |= 1 << (word & 63)
-        self.low[word] |= 1 << (rank & 63)
-
-    def pop(self) -> tuple[int, int]:
-        """The next (rank, position); only to be called while ``top`` is non-zero."""
-        top = self.top
-        block = (top & -top).bit_length() - 1
-        mid = self.mid[block]
-        word = (block << 6) + (mid & -mid).bit_length() - 1
-        low = self.low[word]
-        rank = (word << 6) + (low & -low).bit_length() - 1
-        bucket = self.buckets[rank]
-        at = heappop(bucket)
-        if not bucket:
-            self.buckets[rank] = None
-            low &= low - 1
-            self.low[word] = low
-            if not low:
-                mid &= mid - 1
-                self.mid[block] = mid
-                if not mid:
-                    self.top = top & (top - 1)
-        return rank, at
-
-
 class Encoder:
-    """Encodes texts by a rank table; one for each worker process."""
+    """Encodes texts by a rank table; one for each worker process.
+
+    The queue is empty again when a call is done. ``buckets[r]`` lists the left positions that wait
+    at rank r; bit r & 255 of ``low[r >> 8]`` is set while there are any, and ``top`` has a bit for
+    each non-zero word of ``low``. The ids of pre-tokens are remembered in two generations: what a
+    full one holds stays while it is met.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
+        size = max(ranks.values(), default=0) + 1
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
-        self.queue = RankQueue(max(ranks.values(), default=0) + 1)
+        self.buckets: list[list[int] | None] = [None] * size
+        self.low = [0] * ((size >> 8) + 1)
+        self.two_bytes = [ranks.get(bytes((x, y)), -1) for x in range(256) for y in range(256)]
         self.packed_id = {token: rank.to_bytes(4, "little") for token, rank in ranks.items()}
-        self.memo = _Memo(self)
-
-    def piece(self, piece: bytes) -> bytes:
-        """Packed ids (little-endian 32-bit) of one pre-token."""
-        whole = self.packed_id.get(piece)
-        if whole is not None:
-            return whole
-        rank_of, queue, n = self.ranks.get, self.queue, len(piece)
-        push, pop = queue.push, queue.pop
-        after, before, waiting = list(range(1, n + 2)), list(range(-1, n)), [-1] * (n + 1)
-        for at in range(n - 1):
-            rank = rank_of(piece[at : at + 2])
-            if rank is not None:
-                waiting[at] = rank
-                push(rank, at)
-        while queue.top:
-            rank, at = pop()
-            if waiting[at] != rank:
-                continue
-            gone = after[at]
-            end = after[gone]
-            waiting[gone] = -1
-            after[at], before[end] = end, at
-            waiting[at] = -1
-            if end < n and (rank := rank_of(piece[at : after[end]])) is not None:
-                waiting[at] = rank
-                push(rank, at)
-            left = before[at]
-            if left >= 0:
-                rank = rank_of(piece[left:end])
-                if rank is None:
-                    waiting[left] = -1
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids (little-endian 32-bit) of each pre-token, none of them empty."""
+        joined = b"".join(pieces)
+        n = len(joined)
+        edge = bytearray(n + 1)
+        at = 0
+        for piece in pieces:
+            edge[at] = 1
+            at += len(piece)
+        edge[n] = 1
+        rank_of, two_bytes, buckets, low, top = self.ranks.get, self.two_bytes, self.buckets, self.low, 0
+        after, before = list(range(1, n + 2)), list(range(-1, n))
+        waiting = [two_bytes[x << 8 | y] for x, y in zip(joined, joined[1:])]
+        waiting.append(-1)
+        for at in range(1, n + 1):
+            if edge[at]:
+                waiting[at - 1] = -1
+        for at, rank in enumerate(waiting):
+            if rank >= 0:
+                if buckets[rank] is None:
+                    buckets[rank] = [at]
+                    top |= 1 << (rank >> 8)
+                    low[rank >> 8] |= 1 << (rank & 255)
                 else:
-                    waiting[left] = rank
-                    push(rank, left)
-        ids, at, packed_id = [], 0, self.packed_id
+                    buckets[rank].append(at)
+        while top:
+            word = (top & -top).bit_length() - 1  # find the first set bit, level by level
+            bits = low[word]
+            rank = (word << 8) + (bits & -bits).bit_length() - 1
+            places = sorted(buckets[rank])
+            buckets[rank] = None
+            low[word] = bits = bits & (bits - 1)
+            if not bits:
+                top &= top - 1
+            for k, at in enumerate(places):  # leftmost first
+                if waiting[at] != rank:
+                    continue  # stale
+                gone = after[at]
+                end = after[gone]
+                waiting[gone] = waiting[at] = -1
+                after[at] = end
+                before[end] = at
+                sooner = False
+                if not edge[end]:
+                    new = rank_of(joined[at : after[end]])
+                    if new is not None:
+                        waiting[at] = new
+                        if buckets[new] is None:
+                            buckets[new] = [at]
+                            top |= 1 << (new >> 8)
+                            low[new >> 8] |= 1 << (new & 255)
+                        else:
+                            buckets[new].append(at)
+                        sooner = new < rank
+                if not edge[at]:
+                    left = before[at]
+                    new = rank_of(joined[left:end])
+                    if new is None:
+                        waiting[left] = -1
+                    else:
+                        waiting[left] = new
+                        if buckets[new] is None:
+                            buckets[new] = [left]
+                            top |= 1 << (new >> 8)
+                            low[new >> 8] |= 1 << (new & 255)
+                        else:
+                            buckets[new].append(left)
+                        sooner = sooner or new < rank
+                if sooner and k + 1 < len(places):  # a lower rank goes before the rest of this one
+                    buckets[rank] = places[k + 1 :]
+                    top |= 1 << word
+                    low[word] |= 1 << (rank & 255)
+                    break
+        out, ids, at, packed_id = [], [], 0, self.packed_id
         while at < n:
-            ids.append(packed_id[piece[at : after[at]]])
-            at = after[at]
-        return b"".join(ids)
-
-    def encode(self, text: str | None) -> bytes:
-        """Packed ids of a whole text; null counts as empty."""
-        return b"".join(map(self.memo.__getitem__, self.split(text))) if text else b""
-
-
-class _Memo(dict):
-    """Packed ids of the pre-tokens met so far, bounded in number and length."""
-
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.encoder = encoder
-
-    def __missing__(self, token: str) -> bytes:
-        ids = self.encoder.piece(token.encode("utf-8"))
-        if len(token) <= MEMO_CHARS:
-            if len(self) >= MEMO_ENTRIES:
-                self.clear()
-            self[token] = ids
-        return ids
+            end = after[at]
+            ids.append(packed_id[joined[at:end]])
+            at = end
+            if edge[at]:
+                out.append(ids[0] if len(ids) == 1 else b"".join(ids))
+                ids = []
+        return out
+
+    def _learn(self, tokens: set[str]) -> dict[str, bytes]:
+        """Remember the ids of tokens that the memo lacks; those that are too long are returned."""
+        memo, older, packed_id, passing, fresh = self.memo, self.older, self.packed_id, {}, []
+        for token in tokens:
+            if token in older:
+                memo[token] = older[token]
+                continue
+            piece = token.encode("utf-8")
+            if piece in packed_id:
+                memo[token] = packed_id[piece]
+            else:
+                fresh.append((token, piece))
+        begin = 0
+        while begin < len(fresh):
+            end, size = begin, 0
+            while end < len(fresh) and (end == begin or size + len(fresh[end][1]) <= QUEUE_BYTES):
+                size += len(fresh[end][1])
+                end += 1
+            for (token, _), ids in zip(fresh[begin:end], self.pieces([piece for _, piece in fresh[begin:end]]), strict=True):
+                (memo if len(token) <= MEMO_CHARS else passing)[token] = ids
+            begin = end
+        return passing
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Packed ids of whole texts; null counts as empty."""
+        out: list[bytes] = []
+        begin = 0
+        while begin < len(texts):
+            end, size = begin, 0
+            while end < len(texts) and (end == begin or size <= SPLIT_CHARS):
+                size += len(texts[end] or "")
+                end += 1
+            split = [self.split(t) if t else [] for t in texts[begin:end]]
+            tokens = set().union(*split)
+            if len(self.memo) >= MEMO_ENTRIES:
+                self.older, self.memo = self.memo, {}
+            passing = self._learn(tokens.difference(self.memo))
+            known = self.memo if not passing else self.memo | passing
+            out.extend(b"".join(map(known.__getitem__, t)) for t in split)
+            begin = end
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -173,7 +207,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(ranks_path, pattern)
         for batch in batches:
-            packed = pa.array([encoder.encode(t) for (t,) in arrow_rows(batch, text)], pa.binary())
+            packed = pa.array(encoder.encode([t for (t,) in arrow_rows(batch, text)]), pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, packed], names=[*batch.schema.names, ids])
 
     return kept.mapInArrow(run, schema)

@@ -1 +1,68 @@
-STAGES = []
+"""From raw documents to token ids in five stages.
+
+Each stage takes (spark, docs, sf_dir), works on every document that the stage before it kept, and
+returns a DataFrame that is written as Parquet and read again as the next one's docs. All but the
+last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from shardsort.llm import bpe, exact_dedup, mixing, ngram_join, quality
+from shardsort.llm.common import table
+
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest doc_id stays."""
+    return exact_dedup.drop_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links connect the one with the smallest doc_id stays."""
+    return ngram_join.keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    return mixing.repeat_rows(docs)
+
+
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, decoded again for their digests."""
+    return bpe.digests(docs, RANKS, public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality classifier", classify),
+    ("exact dedup", drop_exact_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("mixing", mix_sources),
+    ("byte-level BPE", encode_texts),
+]
+
+#: SQL cannot express the classifier; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a folder; between stages, tables in the shared folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shardsort-pipeline-")
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs.write.parquet(path := f"{shared}/pipeline-{uuid.uuid4().hex}-{k}")
+            docs = spark.read.parquet(path)
+    return docs

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from shardsort.llm import ann, bpe, chat, exact_dedup, html_extract, licenses, mixing, quality, url_filter
+from shardsort.llm import ann, bpe, chat, exact_dedup, html_extract, licenses, mixing, ngram_join, quality, url_filter
 from shardsort.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -39,6 +39,10 @@ def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
+
+
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
@@ -59,16 +63,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_chat": op4_chat,
         "op5_quality": op5_quality,
         "op6_html_extract": op6_html_extract,
+        "op7_ngram_join": op7_ngram_join,
         "op8_ann": op8_ann,
         "op9_licenses": op9_licenses,
         "op10_url_filter": op10_url_filter,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    known = {
         "op1_exact_dedup": exact_dedup.ORACLE,
         "op2_mixing": mixing.ORACLE,
         "op4_chat": chat.ORACLE,
         "op10_url_filter": url_filter.ORACLE,
+        "pipeline": corpus_pipeline.ORACLE_SQL,
     }
+    return {name: sql for name, sql in known.items() if sql}

@@ -1,9 +1,202 @@
-"""Registered record-sort queries."""
+"""Registered record-sort queries, and the DuckDB SQL that each must equal.
 
+Documents stand for lines, `doc_id % 4` for the worker that holds one, and every order ends in a
+unique column. Positions, ranks and counts are 64-bit.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shardsort.functions import records
+from shardsort.operators import exchange, partitioning, pivots, sampling, sinks, sorting, validate
+
+#: Ranges, rows of a run, rows of a page and bytes of samples in these queries.
+PARTITIONS, CHUNK, PAGE, BUDGET = 4, 1000, 10, 100_000
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+
+
+def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, src, k) of the documents; the text is not carried further."""
+    return _documents(spark, sf_dir).select("doc_id", (F.col("doc_id") % PARTITIONS).alias("src"), records.key("text").alias("k"))
+
+
+def _cuts(keyed: DataFrame) -> list:
+    return pivots.pivot_list(pivots.select_pivots(keyed, "k", ["k", "doc_id"], PARTITIONS))
+
+
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keyed = _keyed(spark, sf_dir)
+    return partitioning.assign(keyed, "k", _cuts(keyed))
+
+
+def scan_lines(spark, sf_dir):
+    return records.split_lines(_documents(spark, sf_dir), "text", "doc_id")
+
+
+def key_extract(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", records.key("text").alias("k"))
+
+
+def byte_key_extract(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", F.hex(records.byte_key("text")).alias("k_hex"))
+
+
+def record_normalize(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", records.normalize("text").alias("rec"))
+
+
+def chunk_assign(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    return sorting.chunk_assign(orders, ["o_orderkey"], CHUNK)
+
+
+def chunk_sort(spark, sf_dir):
+    chunks = sorting.chunk_assign(_keyed(spark, sf_dir).select("doc_id", "k"), ["doc_id"], CHUNK // 10)
+    return sorting.sort_chunks(chunks, "chunk", ["k", "doc_id"]).select("doc_id", "chunk", "rank")
+
+
+def total_order_position(spark, sf_dir):
+    return sorting.global_position(_keyed(spark, sf_dir).select("doc_id", "k"), ["k", "doc_id"]).select("doc_id", "pos")
+
+
+def kway_merge(spark, sf_dir):
+    keyed = _keyed(spark, sf_dir).select("doc_id", "k", (F.col("doc_id") % 3).alias("run"))
+    runs = [keyed.filter(F.col("run") == r) for r in range(3)]
+    return sorting.merge_runs(runs, ["k", "doc_id"]).select("doc_id", "run", "pos")
+
+
+def sample_budget(spark, sf_dir):
+    sizes = _keyed(spark, sf_dir).groupBy("src").agg((F.count("*") * records.RECORD_LEN).alias("size"))
+    return sampling.sample_budget(sizes.select(F.col("src").alias("file"), "size"), BUDGET).select(F.col("file").alias("src"), "n_samples")
+
+
+def sample_keys(spark, sf_dir):
+    return sampling.sample_keys(_keyed(spark, sf_dir), "src", "k", ["k", "doc_id"], BUDGET, seed=1)
+
+
+def pivot_select(spark, sf_dir):
+    return pivots.select_pivots(_keyed(spark, sf_dir), "k", ["k", "doc_id"], PARTITIONS)
+
+
+def partition_assign(spark, sf_dir):
+    return _placed(spark, sf_dir).select("doc_id", "pid")
+
+
+def partition_offsets(spark, sf_dir):
+    keyed = _keyed(spark, sf_dir)
+    return partitioning.partition_offsets(keyed, "k", _cuts(keyed))
+
+
+def partition_sizes(spark, sf_dir):
+    keyed = _keyed(spark, sf_dir)
+    return partitioning.partition_sizes(keyed, "k", _cuts(keyed))
+
+
+def shuffle_matrix(spark, sf_dir):
+    return exchange.shuffle_matrix(_placed(spark, sf_dir))
+
+
+def shuffle_pages(spark, sf_dir):
+    return exchange.shuffle_pages(_placed(spark, sf_dir), page_rows=PAGE)
+
+
+def local_rows(spark, sf_dir):
+    return exchange.local_rows(_placed(spark, sf_dir)).select("doc_id", "pid")
+
+
+def final_merge(spark, sf_dir):
+    """The physical form: exact partitions, sorted; a row's number within its partition."""
+    keyed = _keyed(spark, sf_dir)
+    sorted_parts = partitioning.partition_by_pivots(keyed, "k", _cuts(keyed), "doc_id")
+    local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return sorted_parts.select("doc_id", F.spark_partition_id().cast("long").alias("pid"), local.alias("local_pos"))
+
+
+def order_violations(spark, sf_dir):
+    return validate.order_violations(sorting.global_position(_keyed(spark, sf_dir).select("doc_id", "k"), ["doc_id"]), "pos", "k")
+
+
+def conservation_checksum(spark, sf_dir):
+    return validate.conservation_checksum(_documents(spark, sf_dir), "text")
+
+
+def duplicate_keys(spark, sf_dir):
+    return validate.duplicate_keys(_keyed(spark, sf_dir), "k")
+
+
+def sink_roundtrip(spark, sf_dir):
+    """Write normalized records into exact ranges in the shared folder, read them again, count them."""
+    flat = _documents(spark, sf_dir).select(F.regexp_replace("text", r"[\r\n]", " ").alias("line"))
+    keyed = flat.withColumn("key", records.key("line"))
+    numbered = keyed.select("key", F.xxhash64("line").alias("tie"))
+    cuts = pivots.pivot_list(pivots.select_pivots(numbered, "key", ["key", "tie"], PARTITIONS))
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shardsort-sink-")
+    sinks.write_partitions(keyed, out := f"{shared}/sink-{uuid.uuid4().hex}", cuts)
+    return spark.read.text(out).groupBy(F.col("value").alias("rec")).agg(F.count("*").alias("n"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    listed = (
+        scan_lines, key_extract, byte_key_extract, record_normalize, chunk_assign, chunk_sort, total_order_position, kway_merge,
+        sample_budget, sample_keys, pivot_select, partition_assign, partition_offsets, partition_sizes, shuffle_matrix, shuffle_pages,
+        local_rows, final_merge, order_violations, conservation_checksum, duplicate_keys, sink_roundtrip,
+    )
+    return {f.__name__: f for f in listed}
+
+
+_K = "rpad(substring(text, 1, 10), 10, ' ')"
+_BASE = f"""
+    keyed AS (SELECT doc_id, doc_id % {PARTITIONS} AS src, {_K} AS k FROM documents),
+    ranked AS (SELECT *, row_number() OVER (ORDER BY k, doc_id) - 1 AS idx, count(*) OVER () AS n FROM keyed),
+    cuts AS (
+        SELECT i::BIGINT AS pivot_no, k AS cut FROM range(1, {PARTITIONS}) AS r(i)
+        JOIN ranked ON idx = floor(i * (n / {PARTITIONS}::DOUBLE))::BIGINT
+    ),
+    placed AS (SELECT doc_id, src, k, (SELECT count(*) FROM cuts WHERE cut <= k)::BIGINT AS pid FROM keyed)"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "scan_lines": r"""
+            WITH s AS (SELECT doc_id, string_split_regex(regexp_replace(text, '(\r\n|\n|\r)\z', ''), '\r\n|\n|\r') AS lines FROM documents WHERE length(text) > 0)
+            SELECT doc_id, unnest(range(len(lines)))::BIGINT AS ln, unnest(lines) AS line FROM s""",
+        "key_extract": f"SELECT doc_id, {_K} AS k FROM documents",
+        "byte_key_extract": "SELECT doc_id, substr(hex(encode(text)), 1, 20) AS k_hex FROM documents",
+        "record_normalize": "SELECT doc_id, rpad(text, 99, ' ') AS rec FROM documents",
+        "chunk_assign": f"SELECT o_orderkey, ((row_number() OVER (ORDER BY o_orderkey) - 1) // {CHUNK})::BIGINT AS chunk FROM orders",
+        "chunk_sort": f"""
+            WITH c AS (SELECT doc_id, {_K} AS k, ((row_number() OVER (ORDER BY doc_id) - 1) // {CHUNK // 10})::BIGINT AS chunk FROM documents)
+            SELECT doc_id, chunk, row_number() OVER (PARTITION BY chunk ORDER BY k, doc_id) AS rank FROM c""",
+        "total_order_position": f"SELECT doc_id, row_number() OVER (ORDER BY {_K}, doc_id) AS pos FROM documents",
+        "kway_merge": f"SELECT doc_id, doc_id % 3 AS run, row_number() OVER (ORDER BY {_K}, doc_id) AS pos FROM documents",
+        "sample_budget": f"""
+            WITH f AS (SELECT doc_id % {PARTITIONS} AS src, count(*) * 100 AS size FROM documents GROUP BY 1)
+            SELECT src, (least({BUDGET} // (SELECT count(*) FROM f), size) // 100)::BIGINT AS n_samples FROM f""",
+        "pivot_select": f"WITH {_BASE} SELECT pivot_no, cut AS \"pivot\" FROM cuts",
+        "partition_assign": f"WITH {_BASE} SELECT doc_id, pid FROM placed",
+        "partition_offsets": f"WITH {_BASE} SELECT pivot_no, (100 * (SELECT count(*) FROM keyed WHERE k < cut))::BIGINT AS byte_offset FROM cuts",
+        "partition_sizes": f"WITH {_BASE} SELECT pid, count(*) AS rows, (100 * count(*))::BIGINT AS bytes FROM placed GROUP BY pid",
+        "shuffle_matrix": f"WITH {_BASE} SELECT src, pid, count(*) AS rows FROM placed GROUP BY src, pid",
+        "shuffle_pages": f"""
+            WITH {_BASE}, m AS (SELECT src, pid, count(*) AS n FROM placed GROUP BY src, pid),
+            p AS (SELECT src, pid, n, unnest(range(0, n // {PAGE} + 1)) AS page FROM m)
+            SELECT src, pid, page, least({PAGE}, n - page * {PAGE})::BIGINT AS rows, n - page * {PAGE} >= {PAGE} AS has_more FROM p""",
+        "local_rows": f"WITH {_BASE} SELECT doc_id, pid FROM placed WHERE src = pid",
+        "final_merge": f"WITH {_BASE} SELECT doc_id, pid, row_number() OVER (PARTITION BY pid ORDER BY k, doc_id) AS local_pos FROM placed",
+        "order_violations": f"""
+            WITH l AS (SELECT {_K} AS k, lag({_K}) OVER (ORDER BY doc_id) AS ahead FROM documents)
+            SELECT count(*) FILTER (ahead > k) AS violations FROM l""",
+        "conservation_checksum": "SELECT count(*) AS rows, sum(('0x' || substr(md5(text), 1, 8))::BIGINT)::BIGINT AS checksum FROM documents",
+        "duplicate_keys": f"SELECT {_K} AS k, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",
+        "sink_roundtrip": r"""
+            SELECT rpad(regexp_replace(text, '[\r\n]', ' ', 'g'), 99, ' ') AS rec, count(*) AS n FROM documents GROUP BY 1""",
+    }

@@ -186,7 +186,7 @@ def drop_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     every task where its row count is within BROADCAST_ROWS; beyond that the join is shuffled.
     """
     verdict = durable(mark_copies(df, doc_id, text))
-    sha = fresh(df, "text_sha256")
+    sha, of_id, of_sha = (fresh(df, name) for name in ("text_sha256", "of_id", "of_sha"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,8 +196,8 @@ def drop_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     rows = df.mapInArrow(run, widened(df, f"`{sha}` string"))
 
     def among(some: DataFrame, how: str) -> DataFrame:
-        keys = some.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-        return rows.join(table_of_at_most(keys, BROADCAST_ROWS), rows[doc_id].cast("long").eqNullSafe(F.col("__id")) & (rows[sha] == F.col("__sha")), how)
+        keys = some.select(F.col("doc_id").alias(of_id), F.col("text_sha256").alias(of_sha)).distinct()
+        return rows.join(table_of_at_most(keys, BROADCAST_ROWS), rows[doc_id].cast("long").eqNullSafe(F.col(of_id)) & (rows[sha] == F.col(of_sha)), how)
 
     repeated = verdict.filter("kept and keep_rows > 1")
     if repeated.isEmpty():

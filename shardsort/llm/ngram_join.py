@@ -43,7 +43,9 @@ def bands_for(similarity: float = SIMILARITY, recall: float = RECALL, hashes: in
     best = (hashes, 1)
     for rows in range(1, hashes + 1):
         chance = similarity**rows
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - chance)) if chance < 1 else 1
+        if chance < 1e-9:
+            break
+        bands = math.ceil(math.log(1 - recall) / math.log1p(-chance)) if chance < 1 else 1
         if bands * rows <= hashes:
             best = (bands, rows)
     return best

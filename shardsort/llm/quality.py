@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardsort.llm.common import arrow_rows, bounded_batches, widened
+from shardsort.llm.common import arrow_rows, bounded_batches, fresh, widened
 
 #: Labelled rows that the machine is fitted on, at most (chosen by a hash of doc_id).
 SAMPLE_ROWS = 5000
@@ -187,5 +187,5 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier does not reject, with all their columns."""
-    name = "__quality_score"
+    name = fresh(docs, "quality_score")
     return score(docs, fit(docs, labels), out=name).filter(F.col(name) >= 0.5).drop(name)

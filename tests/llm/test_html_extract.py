@@ -1,0 +1,91 @@
+import html
+from html.parser import HTMLParser
+
+import pytest
+
+from shardsort.llm import html_extract
+from shardsort.llm.common import table
+
+PAGES = "page_id long, url string, html string, tokens string, host string, text string"
+PAGE = """<!DOCTYPE html><html><head><title>no</title><style>p{{}}</style></head><body class="has-sidebar"><header>Site</header>
+<div class="cookie-notice">We use cookies</div><nav><ul><li><a href="/">menu</a></li></ul></nav><main><article><h1>Title {n} &amp; x</h1>
+<aside>side</aside><p>One <b>two</b><i>three</i><br>four&nbsp;&lt;x&gt; &#8364;\n  five<form>name <input value="a>b"><button>go</button></form>
+<p class="lead">Second {n}<div class="ad-slot">AD</div><script>if (a < b) {{ "</p>" }}</script><!-- <p>not this</p> --><table><tr><td>c1<td>c2</table>
+<section id="comments"><p>first!</p></section></article></main><footer>&copy; us"""
+WANTED = "Title {n} & x\n\nOne twothree four <x> €\xa0five\n\nSecond {n}\n\nc1\n\nc2".replace("\xa0", " ")
+
+
+class Brute(HTMLParser):
+    """Text of <article> by the standard library, for pages of the test tables."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks, self.part = False, [], []
+        self.feed(page)
+        self.close()
+        self.flush()
+
+    def flush(self):
+        text = " ".join("".join(self.part).split())
+        self.part = []
+        if text and self.inside:
+            self.blocks.append(text)
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("p", "h1", "article", "footer"):
+            self.flush()
+            self.inside = self.inside or tag == "article"
+
+    def handle_endtag(self, tag):
+        if tag in ("p", "h1", "article"):
+            self.flush()
+            self.inside = self.inside and tag != "article"
+
+    def handle_data(self, data):
+        self.part.append(data)
+
+
+def test_like_the_standard_parser(spark):
+    sf = "/root/testdata/sf0.01"
+    pages = {r["page_id"]: r for r in table(spark, sf, "pages").collect()}
+    for r in html_extract.extract(table(spark, sf, "pages")).collect():
+        assert r["text"] == "\n\n".join(Brute(pages[r["page_id"]]["html"]).blocks) and r["n_chars"] == len(r["text"])
+        assert r["url"] == pages[r["page_id"]]["url"]
+
+
+def test_everything_that_goes(spark):
+    rows = [(n, f"http://h.example/{n}", PAGE.format(n=n), "c", "c", "c") for n in range(6)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {n: WANTED.format(n=n) for n in range(6)}
+
+
+def test_template_text_goes_where_there_is_no_article(spark):
+    body = "<body><div>Welcome to the site</div><div><p>Story {n} here</p></div><div>All rights reserved</div></body>"
+    rows = [(n, f"http://h.example/{n}", body.format(n=n), None, None, None) for n in range(6)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {n: f"Story {n} here" for n in range(6)}
+
+
+def test_equal_vectors_make_classes(spark):
+    rows = [(n, "http://h.example/", f"<body><ul>{'<li>x' * n}</ul></body>", None, None, None) for n in range(1, 9)]
+    counted = html_extract.occurrences(spark.createDataFrame(rows, PAGES)).filter("host = 'h.example'")
+    by_print = {}
+    for r in counted.collect():
+        by_print.setdefault(r["fingerprint"], set()).add(r["token"])
+    once = [s for s in by_print.values() if 0 in s][0]
+    path = html_extract.token_of
+    assert {path("/body"), path("//body"), path("/body/ul"), path("//body/ul")} <= once and path("/body/ul/li") not in once
+
+
+def test_awkward_pages(spark):
+    rows = [(1, None, None, None, None, None), (2, "no url", "", None, None, None), (3, "http://x", "a < b &am &amp c <b", None, None, None), (3, "http://x", "a < b &am &amp c <b", None, None, None), (None, "http://x", "<article>é" * 3000, None, None, None), (5, "http://x", "<script>never closed <p>x", None, None, None)]
+    got = sorted(((r["page_id"], r["text"]) for r in html_extract.extract(spark.createDataFrame(rows, PAGES)).collect()), key=repr)
+    want = [(1, ""), (2, ""), (3, "a < b &am & c"), (3, "a < b &am & c"), (None, "\n\n".join("é" * 3000)), (5, "")]
+    assert got == sorted(want, key=repr)
+    assert html_extract.extract(spark.createDataFrame([], PAGES)).count() == 0
+
+
+@pytest.mark.parametrize("text", ["plain", "a &lt; b", "&#x20AC;&nbsp;x"])
+def test_references(text):
+    page = html_extract.parse(f"<article>{text}</article>")
+    assert html_extract.main_text(page, frozenset()) == " ".join(html.unescape(text).split())

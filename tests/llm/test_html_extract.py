@@ -66,6 +66,17 @@ def test_template_text_goes_where_there_is_no_article(spark):
     assert got == {n: f"Story {n} here" for n in range(6)}
 
 
+def test_the_frame_is_in_page_order_and_cuts_slots(spark):
+    body = "<body><nav><a>m</a></nav><div><p>one {n}</p></div><footer>f</footer></body>"
+    rows = [(n, "http://h.example/", body.format(n=n) if n else "<footer>f</footer><body>odd", None, None, None) for n in range(1, 9)]
+    found = {r["host"]: r for r in html_extract.templates(html_extract.occurrences(spark.createDataFrame(rows, PAGES))).collect()}
+    path = html_extract.token_of
+    frame = found["h.example"]["frame"]
+    assert [t for t in frame if t in (path("/body"), path("/body/nav"), path("/body/div"), path("/body/div/p"), path("//body/div"), path("/body/footer"), path("//body"))] == [path("/body"), path("/body/nav"), path("/body/div"), path("/body/div/p"), path("//body/div"), path("/body/footer"), path("//body")]
+    slots = html_extract.slots_of(html_extract.parse(body.format(n=3)), html_extract.Template(frame, frozenset()))
+    assert [[b[0] for b in s] for s in slots if s] == [["m"], ["one 3"], ["f"]]
+
+
 def test_equal_vectors_make_classes(spark):
     rows = [(n, "http://h.example/", f"<body><ul>{'<li>x' * n}</ul></body>", None, None, None) for n in range(1, 9)]
     counted = html_extract.occurrences(spark.createDataFrame(rows, PAGES)).filter("host = 'h.example'")
@@ -88,4 +99,4 @@ def test_awkward_pages(spark):
 @pytest.mark.parametrize("text", ["plain", "a &lt; b", "&#x20AC;&nbsp;x"])
 def test_references(text):
     page = html_extract.parse(f"<article>{text}</article>")
-    assert html_extract.main_text(page, frozenset()) == " ".join(html.unescape(text).split())
+    assert html_extract.main_text(page, html_extract.Template([], frozenset())) == " ".join(html.unescape(text).split())

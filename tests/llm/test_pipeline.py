@@ -70,3 +70,16 @@ def test_encoding(spark, stages):
 def test_run(spark, small, stages):
     got = corpus_pipeline.run(spark, small).toPandas()
     assert sorted(map(tuple, got.itertuples(index=False))) == sorted(map(tuple, stages[5].itertuples(index=False)))
+
+
+def test_awkward_documents_pass_every_stage(spark, small, docs, no_docs):
+    """Nulls, empty and long texts, repeats and clashing columns; and no documents at all."""
+    for given in (docs, no_docs):
+        rows = given
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, rows, small)
+            if k < 4:
+                assert out.columns == given.columns
+                rows = spark.createDataFrame(out.collect(), given.schema)
+            else:
+                assert out.count() == rows.count()

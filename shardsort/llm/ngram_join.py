@@ -30,6 +30,8 @@ WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9999
 MOST_HASHES = 128
 #: Nodes and n-grams in one block of a bucket.
 BLOCK_NODES, BLOCK_GRAMS = 256, 400_000
+#: So many pairs are intersected one by one, more all together.
+FEW_PAIRS = 10
 #: Dropped identifiers that may be sent to every task.
 BROADCAST_ROWS = 2_000_000
 #: Distinct words whose hash a worker remembers before it starts afresh.
@@ -182,9 +184,6 @@ def _hash_ids(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of the pairwise intersections of sets of hashes."""
-    if len(sets) == 2:
-        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return np.array([[len(sets[0]), both], [both, len(sets[1])]])
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, gram, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     common = often[gram] > 1
@@ -192,8 +191,9 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     shared = np.zeros((len(sets), len(sets)), np.float32)
     order = np.argsort(gram, kind="stable")
     owner, gram = owner[order], gram[order]
-    step = max(1, (1 << 23) // len(sets))
-    for begin in range(0, int(gram[-1]) + 1 if len(gram) else 0, step):
+    grams = int(gram[-1]) + 1 if len(gram) else 0
+    step = max(1, min(grams, (1 << 21) // len(sets)))
+    for begin in range(0, grams, step):
         low, high = np.searchsorted(gram, [begin, begin + step])
         held = np.zeros((len(sets), step), np.float32)
         held[owner[low:high], gram[low:high] - begin] = 1
@@ -207,15 +207,15 @@ def links_within(key: int, block: list[int], keys: list[list[int]], sets: list[n
     """Which pairs of a bucket's nodes are links to be counted here, as a matrix.
 
     Here is where `key` is the smallest bucket that both are in and, if there are two blocks, where
-    they lie in different ones.
+    they lie in different ones. Pairs that belong elsewhere, or whose sizes differ too much for the
+    similarity, are not intersected.
     """
     size = np.array([len(s) for s in sets], np.int64)
-    shared = shared_counts(sets)
-    linked = shared >= similarity * (size[:, None] + size[None, :] - shared) - 1e-9
-    np.fill_diagonal(linked, False)
+    wanted = np.minimum.outer(size, size) >= similarity * np.maximum.outer(size, size) - 1e-9
+    np.fill_diagonal(wanted, False)
     number = np.array(block)
     if number.min() != number.max():
-        linked &= number[:, None] != number[None, :]
+        wanted &= number[:, None] != number[None, :]
     earlier: dict[int, list[int]] = {}
     for k, own in enumerate(keys):
         for other in own:
@@ -223,7 +223,18 @@ def links_within(key: int, block: list[int], keys: list[list[int]], sets: list[n
                 earlier.setdefault(other, []).append(k)
     for rows in earlier.values():
         if len(rows) > 1:
-            linked[np.ix_(rows, rows)] = False
+            wanted[np.ix_(rows, rows)] = False
+    one, two = np.nonzero(np.triu(wanted))
+    linked = np.zeros_like(wanted)
+    if len(one) <= FEW_PAIRS:
+        for a, b in zip(one, two, strict=True):
+            both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            linked[a, b] = linked[b, a] = both >= similarity * (size[a] + size[b] - both) - 1e-9
+        return linked
+    rows = np.flatnonzero(wanted.any(axis=1))
+    shared = shared_counts([sets[k] for k in rows])
+    near = shared >= similarity * (size[rows][:, None] + size[rows][None, :] - shared) - 1e-9
+    linked[np.ix_(rows, rows)] = near & wanted[np.ix_(rows, rows)]
     return linked
 
 

@@ -76,12 +76,23 @@ class _Open:
 
 @dataclass
 class Page:
-    """Tokens in order, and blocks of text as (text, in main, aside, token before it, own token)."""
+    """Tokens in order, and blocks of text as (text, in main, aside, tokens before it, own token)."""
 
     tokens: list[int] = field(default_factory=list)
     blocks: list[tuple[str, bool, bool, int, int]] = field(default_factory=list)
 
 
+@dataclass
+class Template:
+    """The frame's tokens in page order, and the tokens of the classes nested between them."""
+
+    frame: list[int]
+    nested: frozenset[int]
+
+    def __post_init__(self) -> None:
+        self.number = {token: k for k, token in enumerate(self.frame)}
+
+
 def token_of(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
@@ -112,7 +123,6 @@ def parse(html: str | None) -> Page:
     """
     page, at, text, html = Page(), 0, [], html or ""
     stack = [_Open("", "", False, False)]
-    last = 0
 
     def close_block() -> None:
         nonlocal text
@@ -122,7 +132,7 @@ def parse(html: str | None) -> Page:
             if joined:
                 top = stack[-1]
                 own = 0 if top.main or top.aside else token_of(f"{top.path}\n{joined}")
-                page.blocks.append((joined, top.main, top.aside, last, own))
+                page.blocks.append((joined, top.main, top.aside, len(page.tokens), own))
                 if own:
                     page.tokens.append(own)
 
@@ -150,8 +160,7 @@ def parse(html: str | None) -> Page:
         if end:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].name == name:
-                    last = token_of("/" + stack[k].path)
-                    page.tokens.append(last)
+                    page.tokens.append(token_of("/" + stack[k].path))
                     del stack[k:]
                     break
             continue
@@ -160,24 +169,44 @@ def parse(html: str | None) -> Page:
         if name in ("li", "dt", "dd", "tr", "td", "th") and stack[-1].name == name:
             stack.pop()
         opened = _opened(name, found[3] or found[6] or "", stack[-1])
-        last = token_of(opened.path)
-        page.tokens.append(last)
+        page.tokens.append(token_of(opened.path))
         if name not in VOID:
             stack.append(opened)
     close_block()
     return page
 
 
-def main_text(page: Page, frame: frozenset[int]) -> str:
+def slots_of(page: Page, template: Template) -> list[list[tuple[str, bool, bool, int, int]]]:
+    """The page's blocks by slot: a slot ends where the next token of the frame comes.
+
+    Frame tokens that a page lacks are passed over; one that comes out of order is no boundary.
+    """
+    slots: list[list] = [[]]
+    at, reached = 0, -1
+    for block in page.blocks:
+        while at < block[3]:
+            number = template.number.get(page.tokens[at], -1)
+            at += 1
+            if number > reached:
+                reached = number
+                slots.append([])
+        slots[-1].append(block)
+    return slots
+
+
+def main_text(page: Page, template: Template) -> str:
     """The text of the article slots; without any, of the slots that are not aside nor template."""
-    chosen = [b[0] for b in page.blocks if b[1] and not b[2]]
-    if not chosen and not any(b[1] for b in page.blocks):
-        chosen = [b[0] for b in page.blocks if not b[2] and b[4] not in frame]
-    return "\n\n".join(chosen)
+    slots = slots_of(page, template)
+    chosen = [b for slot in slots for b in slot if b[1] and not b[2]]
+    if not any(b[1] for b in page.blocks):
+        chosen = [b for slot in slots for b in slot if not b[2] and b[4] not in template.number and b[4] not in template.nested]
+    return "\n\n".join(b[0] for b in chosen)
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
-    """(host, token, n_pages, fingerprint) over all pages; token 0 stands for the page itself.
+    """(host, token, n_pages, fingerprint, places) over all pages; token 0 stands for the page.
+
+    ``places`` sums up the token's first position in each page.
 
     The fingerprint is the exact sum of count times the page's 64-bit hash, as a decimal.
     """
@@ -188,21 +217,25 @@ def occurrences(pages: DataFrame) -> DataFrame:
             for page_id, url, html in arrow_rows(batch, "page_id", "url", "html"):
                 host = split_url(url)[0]
                 weight = xxhash.xxh64_intdigest(f"{page_id} {url}")
-                for token, count in [(0, 1), *Counter(parse(html).tokens).items()]:
+                tokens = parse(html).tokens
+                counts = Counter(tokens)
+                place = {token: k for k, token in zip(range(len(tokens) - 1, -1, -1), reversed(tokens))}
+                for token, count in [(0, 1), *counts.items()]:
                     for name in (host, EVERYWHERE):
                         held = sums.get((name, token))
                         if held is None:
-                            sums[(name, token)] = [1, count * weight]
+                            sums[(name, token)] = [1, count * weight, place.get(token, 0)]
                         else:
                             held[0] += 1
                             held[1] += count * weight
+                            held[2] += place.get(token, 0)
             if len(sums) >= SUMS:
                 yield _sums(sums)
                 sums = {}
         yield _sums(sums)
 
-    partial = pages.select("page_id", "url", "html").mapInArrow(run, "host string, token long, n_pages long, total decimal(38,0)")
-    return partial.groupBy("host", "token").agg(F.sum("n_pages").alias("n_pages"), F.sum("total").cast("string").alias("fingerprint"))
+    partial = pages.select("page_id", "url", "html").mapInArrow(run, "host string, token long, n_pages long, total decimal(38,0), places long")
+    return partial.groupBy("host", "token").agg(F.sum("n_pages").alias("n_pages"), F.sum("total").cast("string").alias("fingerprint"), F.sum("places").alias("places"))
 
 
 def _sums(sums: dict) -> pa.RecordBatch:
@@ -210,22 +243,27 @@ def _sums(sums: dict) -> pa.RecordBatch:
     columns = [
         pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()),
         pa.array([v[0] for v in values], pa.int64()), pa.array([Decimal(v[1]) for v in values], pa.decimal128(38, 0)),
+        pa.array([v[2] for v in values], pa.int64()),
     ]
-    return pa.RecordBatch.from_arrays(columns, names=["host", "token", "n_pages", "total"])
+    return pa.RecordBatch.from_arrays(columns, names=["host", "token", "n_pages", "total", "places"])
 
 
 def templates(counted: DataFrame) -> DataFrame:
-    """(host, tokens) of every host with enough pages, and of all pages together.
+    """(host, frame, nested) of every host with enough pages, and of all pages together.
 
-    Valid classes: the frame, whose vector is that of the page token (once in each page), and
-    classes of two tokens or more (a start and its end at least) in most pages. A host's list is
-    bounded by what a page holds, since rarer tokens are passed over first.
+    The frame is the class whose vector is the page token's (once in each page), in page order.
+    Further valid classes have two tokens or more (a start and its end at least) and come in most
+    pages; they lie in slots of the frame. A host's lists are bounded by what a page holds, since rarer tokens are passed over first.
     """
     pages = counted.filter("token = 0").select("host", F.col("n_pages").alias("of"), F.col("fingerprint").alias("once"))
     frequent = counted.filter("token != 0").join(pages, "host").filter((F.col("of") >= LEAST_PAGES) & (F.col("n_pages") >= LEAST_SUPPORT * F.col("of")))
-    classes = frequent.groupBy("host", "fingerprint").agg(F.collect_list("token").alias("tokens"), F.max((F.col("fingerprint") == F.col("once")).cast("int")).alias("frame"))
-    valid = classes.filter((F.col("frame") == 1) | (F.size("tokens") >= 2))
-    return valid.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
+    placed = F.struct((F.col("places") / F.col("n_pages")).alias("place"), "token")
+    in_frame = F.col("fingerprint") == F.col("once")
+    classes = frequent.groupBy("host", in_frame.alias("frame"), "fingerprint").agg(F.array_sort(F.collect_list(placed)).alias("tokens"))
+    frames = F.max(F.when(F.col("frame"), F.col("tokens.token")))
+    nested = F.flatten(F.collect_list(F.when(~F.col("frame") & (F.size("tokens") >= 2), F.col("tokens.token"))))
+    empty = F.array().cast("array<long>")
+    return classes.groupBy("host").agg(F.coalesce(frames, empty).alias("frame"), F.coalesce(nested, empty).alias("nested"))
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -241,17 +279,20 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     """
     bounded_batches(pages.sparkSession)
     plain = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
-    deduced = durable(templates(occurrences(plain)))
-    common = deduced.filter(F.col("host") == EVERYWHERE).select("tokens").head()
-    common = frozenset(common[0]) if common else frozenset()
+    deduced = durable(templates(durable(occurrences(plain))))
+    row = deduced.filter(F.col("host") == EVERYWHERE).head()
+    common = (list(row["frame"]), list(row["nested"])) if row else ([], [])
     own = table_of_at_most(deduced.filter(F.col("host") != EVERYWHERE).withColumnRenamed("host", "of"), BROADCAST_HOSTS)
     host = F.regexp_extract(F.coalesce("url", F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)
     host = F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    framed = plain.join(own, host == F.col("of"), "left").select("page_id", "url", "html", "tokens")
+    framed = plain.join(own, host == F.col("of"), "left").select("page_id", "url", "html", "frame", "nested")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        everywhere = Template(common[0], frozenset(common[1]))
         for batch in batches:
-            texts = [main_text(parse(page), frozenset(tokens) if tokens is not None else common) for page, tokens in arrow_rows(batch, "html", "tokens")]
+            texts = []
+            for page, frame, nested in arrow_rows(batch, "html", "frame", "nested"):
+                texts.append(main_text(parse(page), everywhere if frame is None else Template(frame, frozenset(nested))))
             columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 

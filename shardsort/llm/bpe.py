@@ -27,8 +27,10 @@ from shardsort.llm.common import arrow_rows, bounded_batches, widened
 MEMO_ENTRIES = 150_000
 #: Longer pre-tokens are encoded each time, so that the memory of the memo is bounded.
 MEMO_CHARS = 64
-#: Texts are split and pre-tokens queued in lots of about so many characters and bytes.
-SPLIT_CHARS, QUEUE_BYTES = 2_000_000, 30_000
+#: Texts are split in lots of about so many characters, and so many short pre-tokens share a queue.
+SPLIT_CHARS, QUEUE_PIECES = 2_000_000, 3000
+#: Stands for a byte that has no rank of its own.
+NO_BYTE = 1 << 40
 
 
 def read_ranks(lines: Iterable[bytes]) -> dict[bytes, int]:
@@ -51,7 +53,8 @@ class Encoder:
         self.split = regex.compile(pattern).findall
         self.buckets: list[list[int] | None] = [None] * size
         self.low = [0] * ((size >> 8) + 1)
-        self.two_bytes = [ranks.get(bytes((x, y)), -1) for x in range(256) for y in range(256)]
+        self.one_byte = np.array([ranks[bytes((x,))] if bytes((x,)) in ranks else NO_BYTE for x in range(256)], np.int64)
+        self.two_bytes = np.array([ranks.get(bytes((x, y)), -1) for x in range(256) for y in range(256)], np.int64)
         self.packed_id = {token: rank.to_bytes(4, "little") for token, rank in ranks.items()}
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -60,32 +63,32 @@ class Encoder:
         """Packed ids (little-endian 32-bit) of each pre-token, none of them empty."""
         joined = b"".join(pieces)
         n = len(joined)
+        raw = np.frombuffer(joined, np.uint8).astype(np.int32)
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        pair = np.append(self.two_bytes[raw[:-1] << 8 | raw[1:]], -1)
+        pair[ends - 1] = -1
         edge = bytearray(n + 1)
-        at = 0
-        for piece in pieces:
-            edge[at] = 1
-            at += len(piece)
-        edge[n] = 1
-        rank_of, two_bytes, buckets, low, top = self.ranks.get, self.two_bytes, self.buckets, self.low, 0
-        after, before = list(range(1, n + 2)), list(range(-1, n))
-        waiting = [two_bytes[x << 8 | y] for x, y in zip(joined, joined[1:])]
+        for end in ends.tolist():
+            edge[end] = 1
+        edge[0] = 1
+        waiting, symbol = pair.tolist(), self.one_byte[raw].tolist()
         waiting.append(-1)
-        for at in range(1, n + 1):
-            if edge[at]:
-                waiting[at - 1] = -1
-        for at, rank in enumerate(waiting):
-            if rank >= 0:
-                if buckets[rank] is None:
-                    buckets[rank] = [at]
-                    top |= 1 << (rank >> 8)
-                    low[rank >> 8] |= 1 << (rank & 255)
-                else:
-                    buckets[rank].append(at)
+        rank_of, buckets, low, top = self.ranks.get, self.buckets, self.low, 0
+        after, before = list(range(1, n + 2)), list(range(-1, n))
+        order = np.argsort(pair, kind="stable")
+        order = order[np.searchsorted(pair[order], 0) :]
+        cuts = np.flatnonzero(np.diff(pair[order], prepend=-1)).tolist()
+        places = order.tolist()
+        for rank, begin, end in zip(pair[order][cuts].tolist(), cuts, [*cuts[1:], len(places)]):
+            buckets[rank] = places[begin:end]
+            top |= 1 << (rank >> 8)
+            low[rank >> 8] |= 1 << (rank & 255)
         while top:
             word = (top & -top).bit_length() - 1  # find the first set bit, level by level
             bits = low[word]
             rank = (word << 8) + (bits & -bits).bit_length() - 1
-            places = sorted(buckets[rank])
+            places = buckets[rank]
+            places.sort()
             buckets[rank] = None
             low[word] = bits = bits & (bits - 1)
             if not bits:
@@ -95,7 +98,8 @@ class Encoder:
                     continue  # stale
                 gone = after[at]
                 end = after[gone]
-                waiting[gone] = waiting[at] = -1
+                waiting[gone] = waiting[at] = symbol[gone] = -1
+                symbol[at] = rank
                 after[at] = end
                 before[end] = at
                 sooner = False
@@ -129,37 +133,25 @@ class Encoder:
                     top |= 1 << word
                     low[word] |= 1 << (rank & 255)
                     break
-        out, ids, at, packed_id = [], [], 0, self.packed_id
-        while at < n:
-            end = after[at]
-            ids.append(packed_id[joined[at:end]])
-            at = end
-            if edge[at]:
-                out.append(ids[0] if len(ids) == 1 else b"".join(ids))
-                ids = []
-        return out
+        ids = np.array(symbol, np.int64)
+        live = ids >= 0
+        packed = ids[live].astype("<u4").tobytes()
+        stops = (np.cumsum(live)[ends - 1] * 4).tolist()
+        return [packed[a:b] for a, b in zip([0, *stops], stops)]
 
     def _learn(self, tokens: set[str]) -> dict[str, bytes]:
         """Remember the ids of tokens that the memo lacks; those that are too long are returned."""
-        memo, older, packed_id, passing, fresh = self.memo, self.older, self.packed_id, {}, []
-        for token in tokens:
-            if token in older:
-                memo[token] = older[token]
-                continue
-            piece = token.encode("utf-8")
-            if piece in packed_id:
-                memo[token] = packed_id[piece]
-            else:
-                fresh.append((token, piece))
-        begin = 0
-        while begin < len(fresh):
-            end, size = begin, 0
-            while end < len(fresh) and (end == begin or size + len(fresh[end][1]) <= QUEUE_BYTES):
-                size += len(fresh[end][1])
-                end += 1
-            for (token, _), ids in zip(fresh[begin:end], self.pieces([piece for _, piece in fresh[begin:end]]), strict=True):
-                (memo if len(token) <= MEMO_CHARS else passing)[token] = ids
-            begin = end
+        memo, older = self.memo, self.older
+        seen = older.keys() & tokens
+        memo.update((token, older[token]) for token in seen)
+        short = [token for token in tokens - seen if len(token) <= MEMO_CHARS]
+        passing = {token: self.packed_id.get(piece) or self.pieces([piece])[0] for token in tokens - seen if len(token) > MEMO_CHARS for piece in (token.encode("utf-8"),)}
+        whole = list(map(self.packed_id.get, map(str.encode, short)))
+        memo.update((token, ids) for token, ids in zip(short, whole, strict=True) if ids is not None)
+        rest = [token for token, ids in zip(short, whole, strict=True) if ids is None]
+        for begin in range(0, len(rest), QUEUE_PIECES):
+            some = rest[begin : begin + QUEUE_PIECES]
+            memo.update(zip(some, self.pieces(list(map(str.encode, some))), strict=True))
         return passing
 
     def encode(self, texts: list[str | None]) -> list[bytes]:

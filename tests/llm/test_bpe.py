@@ -29,8 +29,8 @@ def packed(ids):
 def test_random_texts(ranks, expected, monkeypatch):
     rng = random.Random(2)
     texts = ["".join(rng.choice("aab be\n\t 1é's'\x1c\x85　日😀ll<|endoftext|>") for _ in range(rng.randrange(90))) for _ in range(1500)]
-    for lot in (30_000, 10):
-        monkeypatch.setattr(bpe, "QUEUE_BYTES", lot)
+    for lot in (3000, 2):
+        monkeypatch.setattr(bpe, "QUEUE_PIECES", lot)
         assert bpe.Encoder(ranks, public_tokenizers.PATTERN).encode(texts) == [packed(expected(t)) for t in texts]
 
 

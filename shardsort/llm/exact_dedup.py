@@ -22,8 +22,8 @@ from shardsort.llm.common import KeyFilter, arrow_rows, bounded_batches, durable
 
 #: Entries of a memtable before it is flushed.
 MEMTABLE = 100_000
-#: Rows of a table that may be sent to every task (about 64 MB of identifiers and digests).
-BROADCAST_ROWS = 1_000_000
+#: Rows of a table of identifiers and 16-byte digests that may be sent to every task (some 30 MB).
+BROADCAST_ROWS = 500_000
 _RUN = "digest binary, key long, key_rows long, n_rows long"
 
 
@@ -190,13 +190,13 @@ def drop_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hexes = [hashlib.sha256(lower_ascii(t)).hexdigest() for (t,) in arrow_rows(batch, text)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hexes, pa.string())], names=[*batch.schema.names, sha])
+            halves = [hashlib.sha256(lower_ascii(t)).digest()[:16] for (t,) in arrow_rows(batch, text)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(halves, pa.binary())], names=[*batch.schema.names, sha])
 
-    rows = df.mapInArrow(run, widened(df, f"`{sha}` string"))
+    rows = df.mapInArrow(run, widened(df, f"`{sha}` binary"))
 
     def among(some: DataFrame, how: str) -> DataFrame:
-        keys = some.select(F.col("doc_id").alias(of_id), F.col("text_sha256").alias(of_sha)).distinct()
+        keys = some.select(F.col("doc_id").alias(of_id), F.unhex(F.substring("text_sha256", 1, 32)).alias(of_sha)).distinct()
         return rows.join(table_of_at_most(keys, BROADCAST_ROWS), rows[doc_id].cast("long").eqNullSafe(F.col(of_id)) & (rows[sha] == F.col(of_sha)), how)
 
     repeated = verdict.filter("kept and keep_rows > 1")

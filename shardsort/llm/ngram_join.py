@@ -339,3 +339,23 @@ def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     dropped = found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(name)).distinct()
     dropped = table_of_at_most(dropped, BROADCAST_ROWS)
     return df.join(dropped, df[doc_id].cast("long").eqNullSafe(dropped[name]), "left_anti")
+
+
+#: Exact, over all pairs that share an n-gram; banding misses less than one link in 10,000 of these.
+ORACLE = r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(lower(coalesce("text", '')), '[\p{L}\p{N}_]+') AS words FROM documents
+    ), u AS (
+        SELECT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+               ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS gram FROM w
+    ), g AS (SELECT DISTINCT doc_id, gram FROM u
+    ), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+    ), p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both_have FROM g AS a JOIN g AS b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+    ), l AS (
+        SELECT p.x, p.y FROM p JOIN n AS nx ON nx.doc_id = p.x JOIN n AS ny ON ny.doc_id = p.y
+        WHERE both_have >= 0.8::DOUBLE * (nx.n + ny.n - both_have) - 1e-9
+    ), r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x
+    ), c AS (SELECT x, min(y) AS smallest FROM r GROUP BY x
+    ), k AS (SELECT x, count(*) AS links FROM l GROUP BY x)
+    SELECT d.doc_id, least(d.doc_id, coalesce(c.smallest, d.doc_id)) AS class_id, coalesce(k.links, 0)::BIGINT AS n_links
+    FROM documents AS d LEFT JOIN c ON c.x = d.doc_id LEFT JOIN k ON k.x = d.doc_id"""

@@ -76,6 +76,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_exact_dedup": exact_dedup.ORACLE,
         "op2_mixing": mixing.ORACLE,
         "op4_chat": chat.ORACLE,
+        "op7_ngram_join": ngram_join.ORACLE,
         "op10_url_filter": url_filter.ORACLE,
         "pipeline": corpus_pipeline.ORACLE_SQL,
     }

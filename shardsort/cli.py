@@ -20,7 +20,7 @@ def main(argv: list[str] | None = None) -> int:
         parser.error("--partitions must be at least 1")
     spark = SparkSession.builder.appName("shardsort").getOrCreate()
     done = sort_lines(spark, args.inputs, args.output, args.partitions, "skip" if args.skip_missing else "error")
-    print(f"{done.rows} rows, {done.bytes} bytes, {done.partitions} ranges")
+    print(f"read {done.input_bytes} bytes of {done.files} files; wrote {done.rows} rows, {done.bytes} bytes, {done.partitions} ranges")
     return 0
 
 

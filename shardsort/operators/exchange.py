@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shardsort.operators.sorting import group_position
+
 #: Rows of one page.
 PAGE_ROWS = 10_000
 
@@ -28,10 +30,9 @@ def shuffle_pages(df: DataFrame, src: str = "src", pid: str = "pid", page_rows:
     return pages.withColumn("rows", rows).select(src, pid, "page", "rows", (F.col("rows") == page_rows).alias("has_more"))
 
 
-def page_of(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], page_rows: int = PAGE_ROWS, name: str = "page") -> DataFrame:
-    """Add the page that each row of a group is sent in."""
-    number = F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1
-    return df.withColumn(name, F.floor(number / page_rows).cast("long"))
+def page_of(df: DataFrame, group: Sequence[str], order: Sequence[str], page_rows: int = PAGE_ROWS, name: str = "page") -> DataFrame:
+    """Add the page (from 0) that each row of a group is sent in."""
+    return group_position(df, group, order, name, base=0).withColumn(name, F.floor(F.col(name) / page_rows).cast("long"))
 
 
 def local_rows(df: DataFrame, src: str = "src", pid: str = "pid") -> DataFrame:

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardsort.functions.durable import durable
 from shardsort.functions.records import RECORD_LEN
-from shardsort.operators.sorting import global_position
+from shardsort.operators.sorting import group_position
 
 #: Bytes of samples that one worker takes from all its files together.
 SAMPLE_BYTES = 1 << 20
@@ -32,8 +31,5 @@ def sample_keys(df: DataFrame, group: str, key: str, order: list[str], budget: i
     draws = sample_budget(sizes.select("file", "size"), budget).join(sizes.select("file", "rows"), "file").filter("n_samples > 0")
     draws = draws.select(F.col("file").alias(group), F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_samples"))).alias("draw"), "rows")
     draws = draws.withColumn("index", F.floor(F.pmod(F.xxhash64(F.lit(seed), F.col(group), "draw"), F.col("rows"))).cast("long"))
-    ordered = [group, *[c for c in order if c != group]]
-    numbered = global_position(df.select(*dict.fromkeys([key, *ordered])), ordered, "__at", base=0)
-    firsts = durable(numbered.groupBy(group).agg(F.min("__at").alias("__first")))
-    numbered = numbered.join(firsts, group).select(group, key, (F.col("__at") - F.col("__first")).alias("index"))
-    return draws.select(group, "index").join(numbered, [group, "index"]).select(group, key)
+    numbered = group_position(df.select(*dict.fromkeys([group, key, *order])), [group], order, "index", base=0)
+    return draws.select(group, "index").join(numbered.select(group, key, "index"), [group, "index"]).select(group, key)

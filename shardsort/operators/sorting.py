@@ -37,6 +37,19 @@ def global_position(df: DataFrame, order: Sequence[str | Column], name: str = "p
     return ranged.join(F.broadcast(offsets), part == F.col("__part")).withColumn(name, position.cast("long")).drop("__part", "__offset", local)
 
 
+def group_position(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "pos", base: int = 1) -> DataFrame:
+    """Add each row's position within its group, which may hold any share of the rows.
+
+    Positions in the order of group, then ``order``, less the group's first one.
+    """
+    at = f"__{name}_at"
+    placed = global_position(df, [*group, *[c for c in order if c not in group]], at, base=0)
+    firsts = durable(placed.groupBy(*group).agg(F.min(at).alias("__first")).select(*(F.col(g).alias(f"__of_{g}") for g in group), "__first"))
+    same = reduce(lambda a, b: a & b, (F.col(g).eqNullSafe(F.col(f"__of_{g}")) for g in group))
+    numbered = placed.join(firsts, same).withColumn(name, (F.col(at) - F.col("__first") + base).cast("long"))
+    return numbered.drop(at, "__first", *(f"__of_{g}" for g in group))
+
+
 def chunk_assign(df: DataFrame, order: Sequence[str | Column], rows: int = RUN_ROWS, name: str = "chunk") -> DataFrame:
     """Add the number (from 0) of the run that each row falls into, in reading order."""
     return global_position(df, order, name, base=0).withColumn(name, F.floor(F.col(name) / rows).cast("long"))

@@ -109,6 +109,11 @@ def shuffle_pages(spark, sf_dir):
     return exchange.shuffle_pages(_placed(spark, sf_dir), page_rows=PAGE)
 
 
+def shuffle_page_rows(spark, sf_dir):
+    paged = exchange.page_of(_placed(spark, sf_dir), ["src", "pid"], ["k", "doc_id"], PAGE)
+    return paged.select("doc_id", "src", "pid", "page")
+
+
 def local_rows(spark, sf_dir):
     return exchange.local_rows(_placed(spark, sf_dir)).select("doc_id", "pid")
 
@@ -148,7 +153,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     listed = (
         scan_lines, key_extract, byte_key_extract, record_normalize, chunk_assign, chunk_sort, total_order_position, kway_merge,
         sample_budget, sample_keys, pivot_select, partition_assign, partition_offsets, partition_sizes, shuffle_matrix, shuffle_pages,
-        local_rows, final_merge, order_violations, conservation_checksum, duplicate_keys, sink_roundtrip,
+        shuffle_page_rows, local_rows, final_merge, order_violations, conservation_checksum, duplicate_keys, sink_roundtrip,
     )
     return {f.__name__: f for f in listed}
 
@@ -190,6 +195,8 @@ def oracle_sql() -> dict[str, str]:
             WITH {_BASE}, m AS (SELECT src, pid, count(*) AS n FROM placed GROUP BY src, pid),
             p AS (SELECT src, pid, n, unnest(range(0, n // {PAGE} + 1)) AS page FROM m)
             SELECT src, pid, page, least({PAGE}, n - page * {PAGE})::BIGINT AS rows, n - page * {PAGE} >= {PAGE} AS has_more FROM p""",
+        "shuffle_page_rows": f"""
+            WITH {_BASE} SELECT doc_id, src, pid, ((row_number() OVER (PARTITION BY src, pid ORDER BY k, doc_id) - 1) // {PAGE})::BIGINT AS page FROM placed""",
         "local_rows": f"WITH {_BASE} SELECT doc_id, pid FROM placed WHERE src = pid",
         "final_merge": f"WITH {_BASE} SELECT doc_id, pid, row_number() OVER (PARTITION BY pid ORDER BY k, doc_id) AS local_pos FROM placed",
         "order_violations": f"""

@@ -12,15 +12,17 @@ from shardsort.functions import records
 from shardsort.functions.records import RECORD_LEN
 from shardsort.operators.partitioning import partition_by_pivots
 from shardsort.operators.pivots import choose_pivots
-from shardsort.operators.sampling import SAMPLE_BYTES
+from shardsort.operators.sampling import SAMPLE_BYTES, sample_keys
 from shardsort.operators.sinks import write_partitions
-from shardsort.sources.text import read_lines
+from shardsort.sources.text import list_files, read_lines
 
 
 @dataclass
 class SortReport:
-    """What a sort read and wrote."""
+    """What a sort read and wrote; rows in and rows out are the same rows."""
 
+    files: int
+    input_bytes: int
     partitions: int
     pivots: list
     rows: int
@@ -39,12 +41,26 @@ def sampled_pivots(df: DataFrame, key: str, partitions: int, budget: int = SAMPL
     return choose_pivots([r[0] for r in drawn.select(key).collect()], partitions)
 
 
-def sort_lines(spark: SparkSession, inputs: Sequence[str], output: str, partitions: int, missing: str = "error", seed: int = 0) -> SortReport:
-    """Sort the lines of directories into fixed-width files; nothing is lost or added."""
+def equal_pivots(lines: DataFrame, partitions: int, budget: int = SAMPLE_BYTES, seed: int = 0) -> list:
+    """Pivots of draws with the same budget for every source file, whatever its size."""
+    if partitions < 2:
+        return []
+    drawn = sample_keys(lines, "source", "key", ["key"], budget, seed)
+    return choose_pivots([r["key"] for r in drawn.select("key").collect()], partitions)
+
+
+def sort_lines(spark: SparkSession, inputs: Sequence[str], output: str, partitions: int, missing: str = "error", sampling: str = "weighted", seed: int = 0) -> SortReport:
+    """Sort the lines of directories into fixed-width files; nothing is lost or added.
+
+    Pivots come from a bounded sample: "weighted" by size, or "equal" for every file.
+    """
+    if sampling not in ("weighted", "equal"):
+        raise ValueError(f"sampling must be 'weighted' or 'equal', not {sampling!r}")
     lines = read_lines(spark, inputs, missing)
-    pivots = sampled_pivots(lines, "key", partitions, seed=seed)
+    pivots = equal_pivots(lines, partitions, seed=seed) if sampling == "equal" else sampled_pivots(lines, "key", partitions, seed=seed)
+    read = list_files(spark, inputs, missing).agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).head()
     done = write_partitions(lines, output, pivots)
-    return SortReport(len(pivots) + 1, pivots, done["rows"], done["bytes"])
+    return SortReport(read[0], read[1], len(pivots) + 1, pivots, done["rows"], done["bytes"])
 
 
 def sort_frame(df: DataFrame, line: str, partitions: int, *ties: str, seed: int = 0) -> DataFrame:

@@ -101,6 +101,12 @@ def test_pages_with_an_exact_multiple(spark):
     assert pages == [(0, 0, 10, True), (0, 1, 10, True), (0, 2, 0, False), (1, 0, 3, False)]
 
 
+def test_group_positions(spark):
+    df = spark.createDataFrame([(g, v) for g in (None, "a", "b") for v in range(5)], "g string, v long").repartition(3)
+    got = sorted(((r["g"] or "", r["v"], r["pos"]) for r in sorting.group_position(df, ["g"], ["v"]).collect()))
+    assert got == [(g, v, v + 1) for g in ("", "a", "b") for v in range(5)]
+
+
 def test_budget_is_equal_for_all_files(spark):
     files = spark.createDataFrame([("a", 99), ("b", 1000), ("c", 10**6)], "file string, size long")
     got = {r["file"]: r["n_samples"] for r in sampling.sample_budget(files, 30_000).collect()}
@@ -121,13 +127,14 @@ def inputs(tmp_path):
     return tmp_path, rows
 
 
-@pytest.mark.parametrize("partitions", [1, 4])
-def test_job_conserves_and_orders(spark, inputs, partitions):
+@pytest.mark.parametrize("partitions,how", [(1, "weighted"), (4, "weighted"), (4, "equal")])
+def test_job_conserves_and_orders(spark, inputs, partitions, how):
     base, rows = inputs
     out = str(base / "out")
     for _ in range(2):  # a rerun replaces
-        done = job.sort_lines(spark, [str(base / d) for d in ("one", "two", "three")], out, partitions)
+        done = job.sort_lines(spark, [str(base / d) for d in ("one", "two", "three")], out, partitions, sampling=how)
         lines = [x for part in written(out) for x in part]
+        assert done.files == 2 and done.input_bytes == sum(len(x) + 1 for x in rows)
         assert done.rows == len(rows) and done.bytes == 100 * len(rows)
         assert sorted(lines) == sorted(x[:99].ljust(99) for x in rows)
         assert [x[:10] for x in lines] == sorted(x[:10] for x in lines)

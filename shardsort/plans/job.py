@@ -30,14 +30,14 @@ class SortReport:
 
 
 def sampled_pivots(df: DataFrame, key: str, partitions: int, budget: int = SAMPLE_BYTES, seed: int = 0) -> list:
-    """Pivots of a bounded sample of the keys: the rows with the least seeded hashes.
+    """Pivots of a bounded sample of the keys: those of the rows with the least seeded draws.
 
-    The sample is never more than budget / record length keys, whatever the input, and repeats.
+    The sample is never more than budget / record length keys, whatever the input, and repeats for
+    the same input files. Only the key column is read for it.
     """
     if partitions < 2:
         return []
-    row = F.xxhash64(F.lit(seed), *df.columns)
-    drawn = df.select(key, row.alias("__draw")).orderBy("__draw", key).limit(max(1, budget // RECORD_LEN))
+    drawn = df.select(key, F.rand(seed).alias("__draw")).orderBy("__draw").limit(max(1, budget // RECORD_LEN))
     return choose_pivots([r[0] for r in drawn.select(key).collect()], partitions)
 
 

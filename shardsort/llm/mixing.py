@@ -58,7 +58,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[i
         listed.withColumn("caps", F.coalesce(F.sum("cap").over(before), F.lit(0)))
         .withColumn("others", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
         .withColumn("left", share[0] * F.sum("source_size").over(everything) - share[1] * F.col("caps"))
-        .withColumn("open", share[1] * F.col("cap") * F.col("others") >= F.col("weight") * F.col("left"))
+        .withColumn("open", F.col("cap").cast("decimal(38,0)") * (share[1] * F.col("others")) >= F.col("left").cast("decimal(38,0)") * F.col("weight"))
         .withColumn("step", F.row_number().over(order))
     )
     first = F.min(F.when(F.col("open"), F.struct("step", "left", "others"))).over(everything)

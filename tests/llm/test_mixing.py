@@ -56,7 +56,7 @@ def test_buckets_change_nothing_and_reruns_agree(docs):
     assert a == b == c
 
 
-@pytest.mark.parametrize("sizes", [{"a": 10, "b": 1000, "c": 3}, {"a": 0, "b": 5}, {"a": 7}, {None: 9, "z": 100, "é": 50, "A": 1, "zz": 0}])
+@pytest.mark.parametrize("sizes", [{"a": 10, "b": 1000, "c": 3}, {"a": 0, "b": 5}, {"a": 7}, {None: 9, "z": 100, "é": 50, "A": 1, "zz": 0}, {f"s{k:04d}": 10**15 + 10**12 * (k % 7) for k in range(800)}])
 def test_water_level(spark, sizes):
     rows = [(k, source, size) for k, (source, size) in enumerate(sizes.items())]
     got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(rows, "doc_id long, source string, size long")).collect()}

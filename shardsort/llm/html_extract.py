@@ -39,7 +39,8 @@ BROADCAST_HOSTS = 50_000
 EVERYWHERE = "/"
 
 # What HTML elements and their usual names mean.
-RAW = frozenset("script style noscript template iframe svg object canvas textarea select button title math audio video map".split())
+RAW = frozenset("script style noscript template iframe textarea title".split())
+MUTE = frozenset("svg object canvas select button audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "html head body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -47,7 +48,7 @@ BLOCKS = frozenset(
 MAIN = frozenset(("article", "main"))
 ASIDE = frozenset("head nav header footer aside form menu dialog fieldset".split())
 ASIDE_NAMES = frozenset(
-    """ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion disqus footer
+    """ad adbox ads adsbygoogle adsense adslot advert adverts advertisement advertising alert alerts banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion disqus footer
     header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo recommended related reply replies
     respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets""".split()
 )
@@ -61,7 +62,7 @@ _TAG = re.compile(
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME = re.compile(r"[A-Za-z]+")
 _NUMBER = re.compile(r"\d+")
-_RAW_END = {name: re.compile(rf"</{name}\b[^>]*>|\Z", re.I) for name in RAW}
+_END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW | MUTE}
 
 
 @dataclass
@@ -106,8 +107,10 @@ def _opened(name: str, attributes: str, above: _Open) -> _Open:
             if name not in ("html", "body"):
                 if kind.lower() == "role":
                     aside = aside or value.lower() in ASIDE_ROLES
-                else:
-                    aside = aside or not ASIDE_NAMES.isdisjoint(w.lower() for w in _NAME.findall(value))
+                elif not aside:
+                    whole = value.lower().replace("-", "").replace("_", "").split()
+                    words = whole if name in MAIN else whole + _NAME.findall(value.lower())
+                    aside = not ASIDE_NAMES.isdisjoint(words)
     path = f"{above.path}/{name}" + (_NUMBER.sub("0", "." + ".".join(kept)) if kept else "")
     if name in MAIN:
         return _Open(name, path, True, aside)
@@ -119,10 +122,13 @@ def parse(html: str | None) -> Page:
 
     Character references are decoded, white space within a block becomes one space, the ends are
     trimmed. Block elements part blocks, other markup does not; a line break is white space.
-    Unclosed elements end with what encloses them.
+    Unclosed elements end with what encloses them; unclosed scripts, styles and the like reach to
+    the end of the page. A name of asides counts as a word of a class or id, with an article or main
+    element only as a whole class.
     """
     page, at, text, html = Page(), 0, [], html or ""
     stack = [_Open("", "", False, False)]
+    unending: set[str] = set()  # elements that hold no text and have no further end
 
     def close_block() -> None:
         nonlocal text
@@ -148,9 +154,15 @@ def parse(html: str | None) -> Page:
         if name is None:
             continue
         name, end = name.lower(), found[1] or found[4]
-        if name in RAW:
-            if not end:
-                at = _RAW_END[name].search(html, at).end()
+        if name in _END:
+            if not end and name not in unending and not (name in MUTE and (found[3] or "").endswith("/")):
+                over = _END[name].search(html, at)
+                if over:
+                    at = over.end()
+                elif name in RAW:
+                    at = len(html)
+                else:
+                    unending.add(name)
             continue
         if name not in BLOCKS:
             if name == "br":

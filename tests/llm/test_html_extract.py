@@ -96,6 +96,19 @@ def test_awkward_pages(spark):
     assert html_extract.extract(spark.createDataFrame([], PAGES)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "inner,text",
+    [
+        ('<p>a<svg viewBox="0"/>b</p>', "ab"), ("<p>a<button>go</button>b", "ab"), ("<p>a<button>b<p>c<button>d", "ab\n\ncd"), ("a<math><mi>x</mi></math>b", "axb"),
+        ('<div class="side-bar">s</div>a', "a"), ('<div id="sideBar2">s</div>a', "a"), ('<div role="alert">s</div>a', "a"), ('<p class="leader">a', "a"), ("a<textarea>b", "a"),
+        ('<article class="comment">c</article>a', "a"), ('<article class="post comments-open">c</article>a', "c\n\na"), ("a<!-- b", "a"), ('a<img alt=">b" src=x>c', "ac"),
+    ],
+)
+def test_small_pieces(inner, text):
+    page = html_extract.parse(f"<article>{inner}</article>")
+    assert html_extract.main_text(page, html_extract.Template([], frozenset())) == text
+
+
 @pytest.mark.parametrize("text", ["plain", "a &lt; b", "&#x20AC;&nbsp;x"])
 def test_references(text):
     page = html_extract.parse(f"<article>{text}</article>")

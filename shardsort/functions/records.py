@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Bytes of a key, of a record, and of a line without its line feed.
 KEY_LEN = 10
 RECORD_LEN = 100
 LINE_LEN = RECORD_LEN - 1

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shardsort.operators.sorting import group_position
 
-#: Rows of one page.
+#: Rows of one page: fixed value.
 PAGE_ROWS = 10_000
 
 

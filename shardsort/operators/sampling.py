@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shardsort.functions.records import RECORD_LEN
 from shardsort.operators.sorting import group_position
 
-#: Bytes of samples that one worker takes from all its files together.
+#: Bytes of samples that one worker takes from all its files together: fixed value.
 SAMPLE_BYTES = 1 << 20
 
 

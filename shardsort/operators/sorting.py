@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shardsort.functions.durable import durable
 
-#: Rows of one sorted run.
+#: Rows of one sorted run: fixed value.
 RUN_ROWS = 100_000
 
 

@@ -203,18 +203,18 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     return shared
 
 
-def links_within(key: int, block: list[int], keys: list[list[int]], sets: list[np.ndarray], similarity: float) -> np.ndarray:
+def links_within(key: int, across: bool, block: list[int], keys: list[list[int]], sets: list[np.ndarray], similarity: float) -> np.ndarray:
     """Which pairs of a bucket's nodes are links to be counted here, as a matrix.
 
-    Here is where `key` is the smallest bucket that both are in and, if there are two blocks, where
-    they lie in different ones. Pairs that belong elsewhere, or whose sizes differ too much for the
+    Here is where `key` is the smallest bucket that both are in and, in a task across two blocks,
+    where they lie in different ones. Pairs that belong elsewhere, or whose sizes differ too much for the
     similarity, are not intersected.
     """
     size = np.array([len(s) for s in sets], np.int64)
     wanted = np.minimum.outer(size, size) >= similarity * np.maximum.outer(size, size) - 1e-9
     np.fill_diagonal(wanted, False)
-    number = np.array(block)
-    if number.min() != number.max():
+    if across:  # one of the blocks may be empty
+        number = np.array(block)
         wanted &= number[:, None] != number[None, :]
     earlier: dict[int, list[int]] = {}
     for k, own in enumerate(keys):
@@ -256,7 +256,7 @@ def _verified(dealt: DataFrame, similarity: float) -> DataFrame:
 
     def answer(group: tuple, rows: list[tuple]) -> list[tuple]:
         keys, sets = [r[5] for r in rows], [np.frombuffer(r[6], np.uint64) for r in rows]
-        linked = links_within(group[0], [r[3] for r in rows], keys, sets, similarity)
+        linked = links_within(group[0], group[1] != group[2], [r[3] for r in rows], keys, sets, similarity)
         documents = np.array([r[7] for r in rows], np.int64)
         counts, root = linked @ documents, _roots(linked)
         return [(rows[k][4], int(counts[k]), rows[root[k]][4]) for k in np.flatnonzero(linked.any(axis=1))]

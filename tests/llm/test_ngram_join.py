@@ -64,6 +64,14 @@ def test_crowded_buckets_are_dealt_in_blocks(spark, monkeypatch):
     assert Counter(map(tuple, ngram_join.classes(frame(spark, rows)).collect())) == brute(rows)
 
 
+def test_blocks_may_be_empty(spark, monkeypatch):
+    """Few nodes with long sets are dealt over more blocks than there are nodes."""
+    monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", 100)
+    words = [f"w{k}" for k in range(100)]
+    rows = [(k, " ".join(words[:50] + [f"x{k}"] + words[51:])) for k in range(12)] + [(99, " ".join(words))]
+    assert Counter(map(tuple, ngram_join.classes(frame(spark, rows)).collect())) == brute(rows)
+
+
 def test_bands_reach_the_recall():
     for similarity, recall in ((0.8, 0.9999), (0.8, 0.99), (0.5, 0.9)):
         bands, rows = ngram_join.bands_for(similarity, recall)

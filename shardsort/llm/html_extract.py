@@ -1,13 +1,14 @@
 """Main text of web pages by equivalence-class template deduction.
 
 Every page is cut into tokens: start and end tags in the context of their ancestors, and the blocks
-of text outside any article. Over the pages of a host each token has an occurrence vector (how often
+of text (within an article, those in elements that have a class or id). Over the pages of a host each token has an occurrence vector (how often
 it comes in each page). Vectors are never gathered: a token's fingerprint is the sum over pages of
 count times a hash of the page, so equal vectors have equal sums and the sums are added up before
 the shuffle, whatever the size of a host. Tokens that share a fingerprint form a class. The class
 that comes exactly once in each page is the frame of the template; classes that come in most pages
-and whose tokens lie within the frame are nested in it. What is left between the frame's tokens are
-slots; their place in the frame says whether they hold the article, and what of the rest varies.
+and whose tokens lie within the frame are nested in it. What is left between these tokens varies from
+page to page. Text of the template goes: block by block where a page marks no article; within an
+article by whole named elements, for a sentence that articles repeat is still part of them.
 """
 
 from __future__ import annotations
@@ -53,6 +54,8 @@ ASIDE_NAMES = frozenset(
     respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets""".split()
 )
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu".split())
+#: Elements that are part of something larger: not dropped from an article on their own.
+PARTS = frozenset("h1 h2 h3 h4 h5 h6 hgroup caption dd dt figcaption legend li summary tbody td tfoot th thead tr".split())
 CLOSES_P = BLOCKS - {"html", "head", "body"}
 
 _TAG = re.compile(
@@ -67,20 +70,26 @@ _END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW | MUTE}
 
 @dataclass
 class _Open:
-    """An open block element; `aside` and `main` hold for all within it."""
+    """An open block element; `aside` and `main` hold for all within it, `unit` is the innermost one."""
 
     name: str
     path: str
     main: bool
     aside: bool
+    unit: int = -1
 
 
 @dataclass
 class Page:
-    """Tokens in order, and blocks of text as (text, in main, aside, tokens before it, own token)."""
+    """Tokens in order, and blocks of text as (text, in main, aside, tokens before it, own token, unit).
+
+    Units are the elements within main that have a class or id, by the number of the unit around them;
+    -1 is none. A block has a token (not 0) unless it is aside, or in main and in no unit.
+    """
 
     tokens: list[int] = field(default_factory=list)
-    blocks: list[tuple[str, bool, bool, int, int]] = field(default_factory=list)
+    blocks: list[tuple[str, bool, bool, int, int, int]] = field(default_factory=list)
+    units: list[int] = field(default_factory=list)
 
 
 @dataclass
@@ -93,12 +102,15 @@ class Template:
     def __post_init__(self) -> None:
         self.number = {token: k for k, token in enumerate(self.frame)}
 
+    def holds(self, token: int) -> bool:
+        return token in self.number or token in self.nested
+
 
 def token_of(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _opened(name: str, attributes: str, above: _Open) -> _Open:
+def _opened(name: str, attributes: str, above: _Open, units: list[int]) -> _Open:
     kept, aside = [], name in ASIDE
     if attributes:
         for kind, *value in _ATTRIBUTE.findall(attributes):
@@ -111,10 +123,14 @@ def _opened(name: str, attributes: str, above: _Open) -> _Open:
                     whole = value.lower().replace("-", "").replace("_", "").split()
                     words = whole if name in MAIN else whole + _NAME.findall(value.lower())
                     aside = not ASIDE_NAMES.isdisjoint(words)
+    if name in MAIN:  # its class and id often name the single page
+        return _Open(name, f"{above.path}/{name}", True, aside)
     path = f"{above.path}/{name}" + (_NUMBER.sub("0", "." + ".".join(kept)) if kept else "")
-    if name in MAIN:
-        return _Open(name, path, True, aside)
-    return _Open(name, path, above.main, above.aside or aside)
+    opened = _Open(name, path, above.main, above.aside or aside, above.unit)
+    if kept and opened.main and not opened.aside and name not in PARTS and name not in VOID:
+        units.append(above.unit)
+        opened.unit = len(units) - 1
+    return opened
 
 
 def parse(html: str | None) -> Page:
@@ -137,8 +153,8 @@ def parse(html: str | None) -> Page:
             text = []
             if joined:
                 top = stack[-1]
-                own = 0 if top.main or top.aside else token_of(f"{top.path}\n{joined}")
-                page.blocks.append((joined, top.main, top.aside, len(page.tokens), own))
+                own = 0 if top.aside or (top.main and top.unit < 0) else token_of(f"{top.path}\n{joined}")
+                page.blocks.append((joined, top.main, top.aside, len(page.tokens), own, top.unit))
                 if own:
                     page.tokens.append(own)
 
@@ -180,7 +196,7 @@ def parse(html: str | None) -> Page:
             stack.pop()
         if name in ("li", "dt", "dd", "tr", "td", "th") and stack[-1].name == name:
             stack.pop()
-        opened = _opened(name, found[3] or found[6] or "", stack[-1])
+        opened = _opened(name, found[3] or found[6] or "", stack[-1], page.units)
         page.tokens.append(token_of(opened.path))
         if name not in VOID:
             stack.append(opened)
@@ -188,7 +204,7 @@ def parse(html: str | None) -> Page:
     return page
 
 
-def slots_of(page: Page, template: Template) -> list[list[tuple[str, bool, bool, int, int]]]:
+def slots_of(page: Page, template: Template) -> list[list[tuple[str, bool, bool, int, int, int]]]:
     """The page's blocks by slot: a slot ends where the next token of the frame comes.
 
     Frame tokens that a page lacks are passed over; one that comes out of order is no boundary.
@@ -207,11 +223,20 @@ def slots_of(page: Page, template: Template) -> list[list[tuple[str, bool, bool,
 
 
 def main_text(page: Page, template: Template) -> str:
-    """The text of the article slots; without any, of the slots that are not aside nor template."""
-    slots = slots_of(page, template)
-    chosen = [b for slot in slots for b in slot if b[1] and not b[2]]
-    if not any(b[1] for b in page.blocks):
-        chosen = [b for slot in slots for b in slot if not b[2] and b[4] not in template.number and b[4] not in template.nested]
+    """The article's text without the units that are all template; without an article, the blocks
+    that are neither aside nor template."""
+    blocks = [b for b in page.blocks if not b[2]]
+    if any(b[1] for b in page.blocks):
+        varied: set[int] = {-1}
+        for block in blocks:
+            unit = block[5]
+            if unit not in varied and not template.holds(block[4]):
+                while unit not in varied:
+                    varied.add(unit)
+                    unit = page.units[unit]
+        chosen = [b for b in blocks if b[1] and b[5] in varied]
+    else:
+        chosen = [b for b in blocks if not template.holds(b[4])]
     return "\n\n".join(b[0] for b in chosen)
 
 
@@ -283,7 +308,8 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
     The article's blocks in page order, joined by two line feeds: everything within article or main
     elements but menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-    reader comments (by element, role or name). Pages without such elements give the blocks that
+    reader comments (by element, role or name), and but the elements with a class or id of which the
+    template deduced for the host has all the text. Pages without such elements give the blocks that
     are neither aside nor part of their host's template (of all pages' template for hosts of
     fewer than LEAST_PAGES pages). Null html counts as empty, null and malformed urls are one host;
     pages of any length are parsed whole; repeated rows are repeated pages, other columns are not

@@ -66,6 +66,18 @@ def test_template_text_goes_where_there_is_no_article(spark):
     assert got == {n: f"Story {n} here" for n in range(6)}
 
 
+def extracted(spark, rows):
+    pages = spark.createDataFrame([(k, url, page, None, None, None) for k, (url, page) in enumerate(rows)], PAGES)
+    return {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()}
+
+
+def test_the_template_decides_within_articles(spark):
+    body = "<article class='post-{n} tag-{w}'><h1>On {w}</h1><div class='box'><h3>Join</h3><p>Join our club</div><h2 class='k'>Method</h2><div class='fact'>Fact {w}<p>Always so</div><p>The end</p></article>"
+    words = ["ash", "oak", "elm", "fir", "yew"]
+    got = extracted(spark, [(f"http://h.example/{w}", body.format(n=n, w=w)) for n, w in enumerate(words)])
+    assert got == {n: f"On {w}\n\nMethod\n\nFact {w}\n\nAlways so\n\nThe end" for n, w in enumerate(words)}
+
+
 def test_the_frame_is_in_page_order_and_cuts_slots(spark):
     body = "<body><nav><a>m</a></nav><div><p>one {n}</p></div><footer>f</footer></body>"
     rows = [(n, "http://h.example/", body.format(n=n) if n else "<footer>f</footer><body>odd", None, None, None) for n in range(1, 9)]

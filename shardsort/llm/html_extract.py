@@ -53,6 +53,15 @@ ASIDE_NAMES = frozenset(
     header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo recommended related reply replies
     respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets""".split()
 )
+#: Words that with a name of asides make one up ("ad-slot", "related-posts"), unlike those of a title.
+ASIDE_PARTS = frozenset(
+    """articles bar block box btn button buttons container content form global group icons inner item items link links list main menu module nav page panel placeholder posts
+    primary secondary section site slot stories top unit wrap wrapper""".split()
+)
+#: These make up such a compound too, but their header is the article's own.
+OWN_PARTS = frozenset("article blog entry post".split())
+#: Elements whose id is a slug of their own text.
+TITLED = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu".split())
 #: Elements that are part of something larger: not dropped from an article on their own.
 PARTS = frozenset("h1 h2 h3 h4 h5 h6 hgroup caption dd dt figcaption legend li summary tbody td tfoot th thead tr".split())
@@ -63,7 +72,7 @@ _TAG = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_NAME = re.compile(r"[A-Za-z]+")
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _NUMBER = re.compile(r"\d+")
 _END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW | MUTE}
 
@@ -110,6 +119,21 @@ def token_of(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def names_aside(token: str, compounds: bool = True) -> bool:
+    """Whether a class or id, as a whole, is a name of asides, or a compound of nothing but one and parts.
+
+    Hyphens, underscores, digits and capitals make no difference to a whole name.
+    """
+    if token.lower().replace("-", "").replace("_", "") in ASIDE_NAMES:
+        return True
+    words = [word.lower() for word in _NAME.findall(token)] if compounds else []
+    if "".join(words) in ASIDE_NAMES:
+        return True
+    if "header" in words and not OWN_PARTS.isdisjoint(words):
+        return False
+    return not ASIDE_NAMES.isdisjoint(words) and ASIDE_NAMES | ASIDE_PARTS | OWN_PARTS >= set(words)
+
+
 def _opened(name: str, attributes: str, above: _Open, units: list[int]) -> _Open:
     kept, aside = [], name in ASIDE
     if attributes:
@@ -119,10 +143,8 @@ def _opened(name: str, attributes: str, above: _Open, units: list[int]) -> _Open
             if name not in ("html", "body"):
                 if kind.lower() == "role":
                     aside = aside or value.lower() in ASIDE_ROLES
-                elif not aside:
-                    whole = value.lower().replace("-", "").replace("_", "").split()
-                    words = whole if name in MAIN else whole + _NAME.findall(value.lower())
-                    aside = not ASIDE_NAMES.isdisjoint(words)
+                elif not aside and not (name in TITLED and kind.lower() == "id"):
+                    aside = any(names_aside(token, name not in MAIN) for token in value.split())
     if name in MAIN:  # its class and id often name the single page
         return _Open(name, f"{above.path}/{name}", True, aside)
     path = f"{above.path}/{name}" + (_NUMBER.sub("0", "." + ".".join(kept)) if kept else "")
@@ -139,8 +161,9 @@ def parse(html: str | None) -> Page:
     Character references are decoded, white space within a block becomes one space, the ends are
     trimmed. Block elements part blocks, other markup does not; a line break is white space.
     Unclosed elements end with what encloses them; unclosed scripts, styles and the like reach to
-    the end of the page. A name of asides counts as a word of a class or id, with an article or main
-    element only as a whole class.
+    the end of the page. A name of asides counts as a whole class or id, or with words like box or list
+    (with an article or main element only alone; ids of headings and paragraphs never count). Other
+    names that contain one prove nothing: the template decides on their text.
     """
     page, at, text, html = Page(), 0, [], html or ""
     stack = [_Open("", "", False, False)]

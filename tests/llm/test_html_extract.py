@@ -125,3 +125,25 @@ def test_small_pieces(inner, text):
 def test_references(text):
     page = html_extract.parse(f"<article>{text}</article>")
     assert html_extract.main_text(page, html_extract.Template([], frozenset())) == " ".join(html.unescape(text).split())
+
+
+@pytest.mark.parametrize(
+    "inner,text",
+    [
+        ('<section id="related-work"><p>a</section>b', "a\n\nb"), ('<h2 id="market-share">a</h2>b', "a\n\nb"), ('<section id="search-algorithms">a</section>b', "a\n\nb"),
+        ('<div id="comment-on-method">a</div>b', "a\n\nb"), ('<h2 id="related">a</h2><p id="notice">b', "a\n\nb"), ('<p class="notice">a</p>b', "b"), ('<div class="relatedPosts">a</div>b', "b"),
+        ('<div class="comment-list x">a</div>b', "b"), ('<div id="ad-42">a</div>b', "b"), ('<ul class="SHARE_BUTTONS"><li>a</ul>b', "b"), ('<div class="sharing-economy"><p>a</div>b', "a\n\nb"),
+        ('<div class="post-comments">a</div>b', "b"), ('<div class="entry-header">a</div>b', "a\n\nb"),
+    ],
+)
+def test_only_whole_names_are_asides(inner, text):
+    page = html_extract.parse(f"<article>{inner}</article>")
+    assert html_extract.main_text(page, html_extract.Template([], frozenset())) == text
+
+
+def test_layout_classes_hide_nothing_and_the_template_confirms_weak_names(spark):
+    page = html_extract.parse('<body><div class="page has-sidebar"><p>a</div></body>')
+    assert html_extract.main_text(page, html_extract.Template([], frozenset())) == "a"
+    body = '<article><section id="related-work"><p>Work {w}</section><div class="share-this-story"><p>Tell others</div></article>'
+    words = ["ash", "oak", "elm", "fir", "yew"]
+    assert extracted(spark, [(f"http://h.example/{w}", body.format(w=w)) for w in words]) == {n: f"Work {w}" for n, w in enumerate(words)}

@@ -7,7 +7,8 @@ count times a hash of the page, so equal vectors have equal sums and the sums ar
 the shuffle, whatever the size of a host. Tokens that share a fingerprint form a class. The class
 that comes exactly once in each page is the frame of the template; classes that come in most pages
 and whose tokens lie within the frame are nested in it. What is left between these tokens varies from
-page to page. Text of the template goes: block by block where a page marks no article; within an
+page to page. Pages of a host with equal text count as one, and classes are deduced for a host, for
+each layout of its pages, and for all pages together. Text of the template goes: block by block where a page marks no article; within an
 article by whole named elements, for a sentence that articles repeat is still part of them.
 """
 
@@ -36,6 +37,8 @@ LEAST_SUPPORT = 0.5
 SUMS = 200_000
 #: Hosts whose templates may be sent to every task.
 BROADCAST_HOSTS = 50_000
+#: Groups of equal pages whose sizes may be sent to every task.
+BROADCAST_COPIES = 50_000
 #: The name under which all pages together stand; no host contains it.
 EVERYWHERE = "/"
 
@@ -65,6 +68,8 @@ TITLED = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu".split())
 #: Elements that are part of something larger: not dropped from an article on their own.
 PARTS = frozenset("h1 h2 h3 h4 h5 h6 hgroup caption dd dt figcaption legend li summary tbody td tfoot th thead tr".split())
+#: Elements of running text, which do not tell layouts apart.
+FLOW = PARTS | frozenset("p ul ol dl dir table blockquote pre figure center details dialog address".split())
 CLOSES_P = BLOCKS - {"html", "head", "body"}
 
 _TAG = re.compile(
@@ -99,6 +104,15 @@ class Page:
     tokens: list[int] = field(default_factory=list)
     blocks: list[tuple[str, bool, bool, int, int, int]] = field(default_factory=list)
     units: list[int] = field(default_factory=list)
+    paths: set[str] = field(default_factory=set)
+
+    def content(self) -> int:
+        """Equal for pages whose text is equal but for asides."""
+        return token_of("\n".join(b[0] for b in self.blocks if not b[2]))
+
+    def layout(self) -> int:
+        """Equal for pages with the same containers (divisions and sections) around their text."""
+        return token_of("\n".join(sorted(self.paths)))
 
 
 @dataclass
@@ -223,6 +237,8 @@ def parse(html: str | None) -> Page:
         page.tokens.append(token_of(opened.path))
         if name not in VOID:
             stack.append(opened)
+            if name not in FLOW and not opened.aside and not stack[-2].main:
+                page.paths.add(opened.path)
     close_block()
     return page
 
@@ -247,9 +263,10 @@ def slots_of(page: Page, template: Template) -> list[list[tuple[str, bool, bool,
 
 def main_text(page: Page, template: Template) -> str:
     """The article's text without the units that are all template; without an article, the blocks
-    that are neither aside nor template."""
+    that are neither aside nor template. A page of which that leaves nothing keeps its template text."""
     blocks = [b for b in page.blocks if not b[2]]
     if any(b[1] for b in page.blocks):
+        blocks = [b for b in blocks if b[1]]
         varied: set[int] = {-1}
         for block in blocks:
             unit = block[5]
@@ -257,73 +274,101 @@ def main_text(page: Page, template: Template) -> str:
                 while unit not in varied:
                     varied.add(unit)
                     unit = page.units[unit]
-        chosen = [b for b in blocks if b[1] and b[5] in varied]
+        chosen = [b for b in blocks if b[5] in varied]
     else:
         chosen = [b for b in blocks if not template.holds(b[4])]
-    return "\n\n".join(b[0] for b in chosen)
+    return "\n\n".join(b[0] for b in chosen or blocks)
+
+
+def _tokenized(pages: DataFrame) -> DataFrame:
+    """(host, layout, content, weight, tokens) of each page; the weight is its 64-bit hash."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for page_id, url, html in arrow_rows(batch, "page_id", "url", "html"):
+                page = parse(html)
+                rows.append((split_url(url)[0], page.layout(), page.content(), token_of(f"{page_id} {url}"), page.tokens))
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "layout", "content", "weight", "tokens"])
+
+    return pages.select("page_id", "url", "html").mapInArrow(run, "host string, layout long, content long, weight long, tokens array<long>")
+
+
+def _copies(tokenized: DataFrame) -> DataFrame:
+    """(host, layout, content, in_layout, in_host, in_all): how many pages of each are equal, where it is more than one."""
+    in_layout = durable(tokenized.groupBy("host", "layout", "content").agg(F.count("*").alias("in_layout")))
+    in_host = in_layout.groupBy("host", "content").agg(F.sum("in_layout").alias("in_host"))
+    in_all = in_host.groupBy("content").agg(F.sum("in_host").alias("in_all")).filter("in_all > 1")
+    return in_layout.join(in_host, ["host", "content"]).join(in_all, "content")
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
-    """(host, token, n_pages, fingerprint, places) over all pages; token 0 stands for the page.
+    """(host, layout, token, n_pages, fingerprint, places) over all pages; token 0 stands for the page.
 
-    ``places`` sums up the token's first position in each page.
+    Layout 0 is the whole host. Of c equal pages each counts as 1/c in ``n_pages``, and in ``places``,
+    which sums up the token's first position in each page.
 
     The fingerprint is the exact sum of count times the page's 64-bit hash, as a decimal.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[str, int], list[int]] = {}
+        sums: dict[tuple[str, int, int], list] = {}
         for batch in batches:
-            for page_id, url, html in arrow_rows(batch, "page_id", "url", "html"):
-                host = split_url(url)[0]
-                weight = xxhash.xxh64_intdigest(f"{page_id} {url}")
-                tokens = parse(html).tokens
+            for host, layout, weight, tokens, in_layout, in_host, in_all in arrow_rows(batch, "host", "layout", "weight", "tokens", "in_layout", "in_host", "in_all"):
+                weight += 1 << 63
                 counts = Counter(tokens)
                 place = {token: k for k, token in zip(range(len(tokens) - 1, -1, -1), reversed(tokens))}
-                for token, count in [(0, 1), *counts.items()]:
-                    for name in (host, EVERYWHERE):
-                        held = sums.get((name, token))
+                for name, of, copies in ((host, 0, in_host), (host, layout, in_layout), (EVERYWHERE, 0, in_all)):
+                    share = 1 / copies
+                    for token, count in [(0, 1), *counts.items()]:
+                        held = sums.get((name, of, token))
                         if held is None:
-                            sums[(name, token)] = [1, count * weight, place.get(token, 0)]
+                            sums[(name, of, token)] = [share, count * weight, place.get(token, 0) * share]
                         else:
-                            held[0] += 1
+                            held[0] += share
                             held[1] += count * weight
-                            held[2] += place.get(token, 0)
+                            held[2] += place.get(token, 0) * share
             if len(sums) >= SUMS:
                 yield _sums(sums)
                 sums = {}
         yield _sums(sums)
 
-    partial = pages.select("page_id", "url", "html").mapInArrow(run, "host string, token long, n_pages long, total decimal(38,0), places long")
-    return partial.groupBy("host", "token").agg(F.sum("n_pages").alias("n_pages"), F.sum("total").cast("string").alias("fingerprint"), F.sum("places").alias("places"))
+    tokenized = _tokenized(pages)
+    copies = table_of_at_most(_copies(tokenized), BROADCAST_COPIES)
+    joined = tokenized.join(copies, ["host", "layout", "content"], "left")
+    sizes = [F.coalesce(name, F.lit(1)).alias(name) for name in ("in_layout", "in_host", "in_all")]
+    partial = joined.select("host", "layout", "weight", "tokens", *sizes).mapInArrow(run, "host string, layout long, token long, n_pages double, total decimal(38,0), places double")
+    return partial.groupBy("host", "layout", "token").agg(F.round(F.sum("n_pages"), 4).alias("n_pages"), F.sum("total").cast("string").alias("fingerprint"), F.sum("places").alias("places"))
 
 
 def _sums(sums: dict) -> pa.RecordBatch:
     keys, values = list(sums), list(sums.values())
     columns = [
-        pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()),
-        pa.array([v[0] for v in values], pa.int64()), pa.array([Decimal(v[1]) for v in values], pa.decimal128(38, 0)),
-        pa.array([v[2] for v in values], pa.int64()),
+        pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([k[2] for k in keys], pa.int64()),
+        pa.array([v[0] for v in values], pa.float64()), pa.array([Decimal(v[1]) for v in values], pa.decimal128(38, 0)),
+        pa.array([v[2] for v in values], pa.float64()),
     ]
-    return pa.RecordBatch.from_arrays(columns, names=["host", "token", "n_pages", "total", "places"])
+    return pa.RecordBatch.from_arrays(columns, names=["host", "layout", "token", "n_pages", "total", "places"])
 
 
 def templates(counted: DataFrame) -> DataFrame:
-    """(host, frame, nested) of every host with enough pages, and of all pages together.
+    """(host, layout, frame, nested) of every host and layout with enough different pages, and of all pages together.
 
     The frame is the class whose vector is the page token's (once in each page), in page order.
     Further valid classes have two tokens or more (a start and its end at least) and come in most
     pages; they lie in slots of the frame. A host's lists are bounded by what a page holds, since rarer tokens are passed over first.
     """
-    pages = counted.filter("token = 0").select("host", F.col("n_pages").alias("of"), F.col("fingerprint").alias("once"))
-    frequent = counted.filter("token != 0").join(pages, "host").filter((F.col("of") >= LEAST_PAGES) & (F.col("n_pages") >= LEAST_SUPPORT * F.col("of")))
+    pages = counted.filter("token = 0").select("host", "layout", F.col("n_pages").alias("of"), F.col("fingerprint").alias("once"))
+    frequent = counted.filter("token != 0").join(pages, ["host", "layout"]).filter((F.col("of") >= LEAST_PAGES) & (F.col("n_pages") >= LEAST_SUPPORT * F.col("of")))
     placed = F.struct((F.col("places") / F.col("n_pages")).alias("place"), "token")
     in_frame = F.col("fingerprint") == F.col("once")
-    classes = frequent.groupBy("host", in_frame.alias("frame"), "fingerprint").agg(F.array_sort(F.collect_list(placed)).alias("tokens"))
+    classes = frequent.groupBy("host", "layout", in_frame.alias("frame"), "fingerprint").agg(F.array_sort(F.collect_list(placed)).alias("tokens"))
     frames = F.max(F.when(F.col("frame"), F.col("tokens.token")))
     nested = F.flatten(F.collect_list(F.when(~F.col("frame") & (F.size("tokens") >= 2), F.col("tokens.token"))))
     empty = F.array().cast("array<long>")
-    return classes.groupBy("host").agg(F.coalesce(frames, empty).alias("frame"), F.coalesce(nested, empty).alias("nested"))
+    return classes.groupBy("host", "layout").agg(F.coalesce(frames, empty).alias("frame"), F.coalesce(nested, empty).alias("nested"))
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -333,8 +378,9 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     elements but menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
     reader comments (by element, role or name), and but the elements with a class or id of which the
     template deduced for the host has all the text. Pages without such elements give the blocks that
-    are neither aside nor part of their host's template (of all pages' template for hosts of
-    fewer than LEAST_PAGES pages). Null html counts as empty, null and malformed urls are one host;
+    are neither aside nor part of the template of their host, of their layout on it or of all pages
+    (only of all pages for hosts of fewer than LEAST_PAGES pages of different text); if that leaves
+    nothing, those that are not aside. Equal pages count as one towards a template. Null html counts as empty, null and malformed urls are one host;
     pages of any length are parsed whole; repeated rows are repeated pages, other columns are not
     read; an empty table gives no rows.
     """
@@ -343,18 +389,28 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     deduced = durable(templates(durable(occurrences(plain))))
     row = deduced.filter(F.col("host") == EVERYWHERE).head()
     common = (list(row["frame"]), list(row["nested"])) if row else ([], [])
-    own = table_of_at_most(deduced.filter(F.col("host") != EVERYWHERE).withColumnRenamed("host", "of"), BROADCAST_HOSTS)
-    host = F.regexp_extract(F.coalesce("url", F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)
-    host = F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    framed = plain.join(own, host == F.col("of"), "left").select("page_id", "url", "html", "frame", "nested")
+    whole = deduced.filter((F.col("host") != EVERYWHERE) & (F.col("layout") == 0)).select("host", "frame", "nested")
+    of_layouts = deduced.filter("layout != 0").join(whole.withColumnsRenamed({"frame": "f", "nested": "n"}), "host", "left")
+    more = F.array_except(F.concat("frame", "nested"), F.coalesce(F.concat("f", "n"), F.array().cast("array<long>")))
+    of_layouts = of_layouts.select("host", "layout", more.alias("more")).filter(F.size("more") > 0)
+
+    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = [(split_url(url)[0], parse(html).layout()) for url, html in arrow_rows(batch, "url", "html")]
+            columns = [*batch.columns, pa.array([p[0] for p in places], pa.string()), pa.array([p[1] for p in places], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "host", "layout"])
+
+    placed = plain.mapInArrow(place, "page_id long, url string, html string, host string, layout long")
+    framed = placed.join(table_of_at_most(whole, BROADCAST_HOSTS), "host", "left").join(table_of_at_most(of_layouts, BROADCAST_HOSTS), ["host", "layout"], "left")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        everywhere = Template(common[0], frozenset(common[1]))
+        always = frozenset(common[0] + common[1])
         for batch in batches:
             texts = []
-            for page, frame, nested in arrow_rows(batch, "html", "frame", "nested"):
-                texts.append(main_text(parse(page), everywhere if frame is None else Template(frame, frozenset(nested))))
+            for page, frame, nested, more in arrow_rows(batch, "html", "frame", "nested", "more"):
+                template = Template(common[0] if frame is None else frame, always.union(nested or (), more or ()))
+                texts.append(main_text(parse(page), template))
             columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
-    return framed.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return framed.select("page_id", "url", "html", "frame", "nested", "more").mapInArrow(run, "page_id long, url string, text string, n_chars long")

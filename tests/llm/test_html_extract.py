@@ -147,3 +147,25 @@ def test_layout_classes_hide_nothing_and_the_template_confirms_weak_names(spark)
     body = '<article><section id="related-work"><p>Work {w}</section><div class="share-this-story"><p>Tell others</div></article>'
     words = ["ash", "oak", "elm", "fir", "yew"]
     assert extracted(spark, [(f"http://h.example/{w}", body.format(w=w)) for w in words]) == {n: f"Work {w}" for n, w in enumerate(words)}
+
+
+def test_copies_are_no_template(spark):
+    body = "<body><div><h2>Story</h2><p>One text</p><p>in two parts {w}</p></div></body>"
+    assert extracted(spark, [(f"http://h.example/{n}", body.format(w="")) for n in range(6)]) == {n: "Story\n\nOne text\n\nin two parts" for n in range(6)}
+    other = "<body><p>First of {w}</p><p>Last of {w}</p></body>"
+    words = ["ash", "oak", "elm", "fir", "yew"]
+    got = extracted(spark, [("http://h.example/", other.format(w=w)) for w in words] + [("http://h.example/", body.format(w="same"))] * 6)
+    assert got == {n: f"First of {w}\n\nLast of {w}" for n, w in enumerate(words)} | {n: "Story\n\nOne text\n\nin two parts same" for n in range(5, 11)}
+
+
+def test_a_template_for_each_layout(spark):
+    words = ["ash", "oak", "elm", "fir", "yew"]
+    rows = [(f"http://h.example/{k}", f"<body><div class='{k}'><div>Welcome to {k}</div><p>Story of {k} {w}</p><div>End of {k}</div></div></body>") for w in words for k in ("news", "shop", "club")]
+    rows += [(f"http://{w}.example/", f"<body><p>{w} one</p><p>{w} two</p></body>") for w in ("a", "b", "c", "d", "e", "f", "g", "h", "i")]
+    got = extracted(spark, rows)
+    assert [got[k] for k in range(15)] == [f"Story of {k} {w}" for w in words for k in ("news", "shop", "club")]
+
+
+def test_template_text_stays_where_there_is_no_other(spark):
+    rows = [("http://h.example/", f"<body><p>Welcome</p><p>{w}</p><p>Goodbye</p></body>") for w in ("ash", "oak", "elm", "fir", "yew", "")]
+    assert list(extracted(spark, rows).values()) == ["ash", "oak", "elm", "fir", "yew", "Welcome\n\nGoodbye"]

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardsort.llm.common import KeyFilter, arrow_rows, bounded_batches, durable, fresh, table_of_at_most
+from shardsort.llm.common import KeyFilter, arrow_rows, bounded_batches, durable, fresh, table_of_at_most, widened
 from shardsort.llm.components import components
 
 #: Words of an n-gram, least similarity of a link, and the probability to find a link just there.
@@ -295,6 +295,11 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
     an identifier are documents of their own, linked as their texts are. A null doc_id sorts before
     all others, as a class_id it is null. Other columns are not read; an empty table gives no rows.
     """
+    return _classed(df, doc_id, text, n, similarity, recall).drop("node")
+
+
+def _classed(df: DataFrame, doc_id: str, text: str, n: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """The same with the node of each row, null without words."""
     bounded_batches(df.sparkSession)
     bands, rows = bands_for(similarity, recall)
     source = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
@@ -323,6 +328,7 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
     least = F.coalesce("class", "least")
     return joined.select(
         F.col("id").alias("doc_id"),
+        "node",
         F.when(F.col("node").isNull(), F.col("id")).otherwise(F.when(least != _NO_ID, least)).alias("class_id"),
         F.coalesce(F.col("documents") - 1 + F.coalesce("found", F.lit(0)), F.lit(0)).alias("n_links"),
     )
@@ -331,14 +337,33 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The document with the smallest doc_id of each class, with all its columns.
 
-    Of rows that repeat that identifier all stay. What is dropped is sent to every task where it is
-    counted to be within BROADCAST_ROWS; beyond that the join is shuffled.
+    Of rows that repeat that identifier within the class all stay; where an identifier stands for
+    texts of several classes, its rows are told apart by their nodes. What is dropped is sent to
+    every task where it is counted to be within BROADCAST_ROWS; beyond that the join is shuffled.
     """
-    found = classes(df, doc_id, text)
-    name = fresh(df, "dropped_id")
-    dropped = found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(name)).distinct()
-    dropped = table_of_at_most(dropped, BROADCAST_ROWS)
-    return df.join(dropped, df[doc_id].cast("long").eqNullSafe(dropped[name]), "left_anti")
+    found = _classed(df, doc_id, text)
+    gone = ~F.col("doc_id").eqNullSafe(F.col("class_id"))
+    of_id, of_node, node = (fresh(df, name) for name in ("dropped_id", "dropped_node", "node"))
+    ids = found.groupBy("doc_id").agg(F.bool_or(gone).alias("some"), F.bool_and(gone).alias("every"))
+    ids = table_of_at_most(ids.filter("some").select(F.col("doc_id").alias(of_id), "every"), BROADCAST_ROWS)
+    same_id = df[doc_id].cast("long").eqNullSafe(F.col(of_id))
+    clear = df.join(ids, same_id, "left_anti")
+    mixed = table_of_at_most(ids.filter("not every").select(of_id), BROADCAST_ROWS)
+    if mixed.isEmpty():
+        return clear
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHashes()
+        for batch in batches:
+            sets = [gram_set(t, hashes, WORDS) for (t,) in arrow_rows(batch, text)]
+            nodes = pa.array([_node(g) if len(g) else None for g in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, nodes], names=[*batch.schema.names, node])
+
+    rows = df.join(mixed, same_id, "left_semi").mapInArrow(run, widened(df, f"`{node}` binary"))
+    drop = found.filter(gone).join(mixed, F.col("doc_id").eqNullSafe(F.col(of_id)), "left_semi")
+    drop = table_of_at_most(drop.select(F.col("doc_id").alias(of_id), F.col("node").alias(of_node)).distinct(), BROADCAST_ROWS)
+    rest = rows.join(drop, rows[doc_id].cast("long").eqNullSafe(F.col(of_id)) & (rows[node] == F.col(of_node)), "left_anti")
+    return clear.unionByName(rest.drop(node))
 
 
 #: Exact, over all pairs that share an n-gram; banding misses less than one link in 10,000 of these.

@@ -119,6 +119,14 @@ def test_one_of_each_class_stays(docs, rows):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter(i for i, c, _ in brute([r[:2] for r in rows]).elements() if i == c)
 
 
+def test_a_repeated_number_goes_only_with_the_near_copy(spark):
+    words = [f"w{k}" for k in range(60)]
+    near = " ".join([*words[:30], "other", *words[31:]])
+    rows = [(3, " ".join(words)), (5, near), (5, "a text of its own"), (5, None), (7, near), (None, "no number")]
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, kept.collect())) == Counter([rows[0], rows[2], rows[3], rows[5]])
+
+
 def test_empty(no_docs):
     assert ngram_join.classes(no_docs).count() == 0 and ngram_join.keep_one(no_docs).count() == 0
 

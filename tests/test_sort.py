@@ -208,3 +208,16 @@ def test_one_exchange_for_exact_ranges(spark):
     df = line_frame(spark, ["a", "b"])
     plan = partitioning.partition_by_pivots(df, "key", ["b"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "rangepartitioning" not in plan
+
+
+def test_files_that_spark_passes_over_are_sorted_too(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, data in (("a", b"plain\n"), ("_b", b"under\r\nscore\r\xff\n\nlast"), (".c", b"dot\n"), ("_SUCCESS", b"")):
+        (tmp_path / "in" / name).write_bytes(data)
+    from shardsort.plans.job import sort_lines as job
+    from shardsort.sources import text
+
+    lines = text.read_lines(spark, [str(tmp_path / "in")]).selectExpr("cast(line as binary) AS b").collect()
+    assert sorted(bytes(r["b"]) for r in lines) == sorted([b"plain", b"under", b"score", b"\xff", b"", b"last", b"dot"])
+    done = job(spark, [str(tmp_path / "in")], str(tmp_path / "out"), 2)
+    assert (done.files, done.input_bytes, done.rows) == (4, 30, 7)

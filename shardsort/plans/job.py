@@ -50,7 +50,8 @@ def equal_pivots(lines: DataFrame, partitions: int, budget: int = SAMPLE_BYTES,
 
 
 def sort_lines(spark: SparkSession, inputs: Sequence[str], output: str, partitions: int, missing: str = "error", sampling: str = "weighted", seed: int = 0) -> SortReport:
-    """Sort the lines of directories into fixed-width files; nothing is lost or added.
+    """Sort the lines of directories into fixed-width files; no line is lost or added, but over 99
+    characters a line is cut.
 
     Pivots come from a bounded sample: "weighted" by size, or "equal" for every file.
     """

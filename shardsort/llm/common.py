@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shardsort.functions.durable import durable
+from shardsort.functions.durable import durable, written
 
 #: Arrow batches handed to Python hold at most this many rows and bytes.
 BATCH_ROWS = 1024
@@ -136,6 +136,22 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def salted_join(many: DataFrame, few: DataFrame, on: list[str], how: str, broadcast_rows: int, salts: int = 32) -> DataFrame:
+    """Join a table whose keys may be hot with one of a row for each key.
+
+    ``few`` is sent to every task if it is counted to be within ``broadcast_rows``; beyond that a
+    key's rows are dealt over ``salts`` tasks, and its row of ``few`` is repeated for each. ``how``
+    is inner, left, left_semi or left_anti; null keys match nothing.
+    """
+    counted = durable(few)
+    if counted.count() <= broadcast_rows:
+        return many.join(F.broadcast(counted), on, how)
+    salt = fresh(many, "salt")
+    dealt = many.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    repeated = counted.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(repeated, [*on, salt], how).drop(salt)
+
+
 def table_of_at_most(df: DataFrame, rows: int) -> DataFrame:
     """Hint that df be sent to every task, but only if it is counted to be within the bound."""
     counted = durable(df)

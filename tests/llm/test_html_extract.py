@@ -4,7 +4,7 @@ from html.parser import HTMLParser
 import pytest
 
 from shardsort.llm import html_extract
-from shardsort.llm.common import table
+from shardsort.llm.common import table, written
 
 PAGES = "page_id long, url string, html string, tokens string, host string, text string"
 PAGE = """<!DOCTYPE html><html><head><title>no</title><style>p{{}}</style></head><body class="has-sidebar"><header>Site</header>
@@ -66,6 +66,25 @@ def test_template_text_goes_where_there_is_no_article(spark):
     assert got == {n: f"Story {n} here" for n in range(6)}
 
 
+def template_of(*pages, **settings):
+    """The template of a host of these pages, with all figures added up here, without fingerprints' hashes."""
+    sums = {}
+    for number, page in enumerate(pages):
+        for token, parent, kind, count, plain, linked, own in page.tokens():
+            held = sums.setdefault(token, [parent, kind, 0, 0, 0, 0, [], []])
+            for k, more in ((2, 1), (3, count), (4, plain), (5, linked)):
+                held[k] += more
+            held[6].append((number, count))
+            held[7].append(own)
+    rows = [(t, p, kind, n, count, plain, linked, str(vector), min(own), max(own)) for t, (p, kind, n, count, plain, linked, vector, own) in sums.items()]
+    return html_extract.deduce(rows, len(pages), **settings)
+
+
+def alone(page):
+    """Main text of the only page of its host."""
+    return html_extract.main_text(page, template_of(page))
+
+
 def extracted(spark, rows):
     pages = spark.createDataFrame([(k, url, page, None, None, None) for k, (url, page) in enumerate(rows)], PAGES)
     return {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()}
@@ -78,26 +97,21 @@ def test_the_template_decides_within_articles(spark):
     assert got == {n: f"On {w}\n\nMethod\n\nFact {w}\n\nAlways so\n\nThe end" for n, w in enumerate(words)}
 
 
-def test_the_frame_is_in_page_order_and_cuts_slots(spark):
-    body = "<body><nav><a>m</a></nav><div><p>one {n}</p></div><footer>f</footer></body>"
-    rows = [(n, "http://h.example/", body.format(n=n) if n else "<footer>f</footer><body>odd", None, None, None) for n in range(1, 9)]
-    found = {r["host"]: r for r in html_extract.templates(html_extract.occurrences(spark.createDataFrame(rows, PAGES))).collect()}
-    path = html_extract.token_of
-    frame = found["h.example"]["frame"]
-    assert [t for t in frame if t in (path("/body"), path("/body/nav"), path("/body/div"), path("/body/div/p"), path("//body/div"), path("/body/footer"), path("//body"))] == [path("/body"), path("/body/nav"), path("/body/div"), path("/body/div/p"), path("//body/div"), path("/body/footer"), path("//body")]
-    slots = html_extract.slots_of(html_extract.parse(body.format(n=3)), html_extract.Template(frame, frozenset()))
-    assert [[b[0] for b in s] for s in slots if s] == [["m"], ["one 3"], ["f"]]
+def counted_of(spark, bodies):
+    rows = [(n, "http://h.example/", body, "h.example") for n, body in enumerate(bodies)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
+    return html_extract.occurrences(written(html_extract.parsed(pages)))
 
 
 def test_equal_vectors_make_classes(spark):
-    rows = [(n, "http://h.example/", f"<body><ul>{'<li>x' * n}</ul></body>", None, None, None) for n in range(1, 9)]
-    counted = html_extract.occurrences(spark.createDataFrame(rows, PAGES)).filter("host = 'h.example'")
+    bodies = [f"<body><ul>{'<li>x<div>y</div>' * n}</ul></body>" for n in range(1, 9)]
     by_print = {}
-    for r in counted.collect():
+    for r in counted_of(spark, bodies).collect():
         by_print.setdefault(r["fingerprint"], set()).add(r["token"])
-    once = [s for s in by_print.values() if 0 in s][0]
     path = html_extract.token_of
-    assert {path("/body"), path("//body"), path("/body/ul"), path("//body/ul")} <= once and path("/body/ul/li") not in once
+    once = [s for s in by_print.values() if html_extract.PAGE in s][0]
+    assert {path("/body"), path("/body/ul")} <= once and path("/body/ul/li") not in once
+    assert any({path("/body/ul/li"), path("/body/ul/li/div")} <= s and path("/body/ul") not in s for s in by_print.values())
 
 
 def test_awkward_pages(spark):
@@ -118,13 +132,13 @@ def test_awkward_pages(spark):
 )
 def test_small_pieces(inner, text):
     page = html_extract.parse(f"<article>{inner}</article>")
-    assert html_extract.main_text(page, html_extract.Template([], frozenset())) == text
+    assert alone(page) == text
 
 
 @pytest.mark.parametrize("text", ["plain", "a &lt; b", "&#x20AC;&nbsp;x"])
 def test_references(text):
     page = html_extract.parse(f"<article>{text}</article>")
-    assert html_extract.main_text(page, html_extract.Template([], frozenset())) == " ".join(html.unescape(text).split())
+    assert alone(page) == " ".join(html.unescape(text).split())
 
 
 @pytest.mark.parametrize(
@@ -138,12 +152,12 @@ def test_references(text):
 )
 def test_only_whole_names_are_asides(inner, text):
     page = html_extract.parse(f"<article>{inner}</article>")
-    assert html_extract.main_text(page, html_extract.Template([], frozenset())) == text
+    assert alone(page) == text
 
 
 def test_layout_classes_hide_nothing_and_the_template_confirms_weak_names(spark):
     page = html_extract.parse('<body><div class="page has-sidebar"><p>a</div></body>')
-    assert html_extract.main_text(page, html_extract.Template([], frozenset())) == "a"
+    assert alone(page) == "a"
     body = '<article><section id="related-work"><p>Work {w}</section><div class="share-this-story"><p>Tell others</div></article>'
     words = ["ash", "oak", "elm", "fir", "yew"]
     assert extracted(spark, [(f"http://h.example/{w}", body.format(w=w)) for w in words]) == {n: f"Work {w}" for n, w in enumerate(words)}
@@ -169,3 +183,68 @@ def test_a_template_for_each_layout(spark):
 def test_template_text_stays_where_there_is_no_other(spark):
     rows = [("http://h.example/", f"<body><p>Welcome</p><p>{w}</p><p>Goodbye</p></body>") for w in ("ash", "oak", "elm", "fir", "yew", "")]
     assert list(extracted(spark, rows).values()) == ["ash", "oak", "elm", "fir", "yew", "Welcome\n\nGoodbye"]
+
+
+def test_the_template_decides(spark):
+    """Without templates most texts are others: a page is then one slot."""
+    pages = [r["html"] for r in table(spark, "/root/testdata/sf0.001", "pages").collect()]
+    parsed = [html_extract.parse(p) for p in pages]
+    by_template = [html_extract.main_text(p, template_of(p)) for p in parsed]
+    whole = [html_extract.main_text(p, html_extract.Template()) for p in parsed]
+    assert sum(a != b for a, b in zip(by_template, whole, strict=True)) == len(pages)
+
+
+def test_unknown_names_within_articles_go_by_their_text(spark):
+    body = """<article><h1>On {w}</h1><p>All about {w} here</p><div class="share-price"><p>Price of {w}</p></div><div class="outbrain-box"><h4>You may also like</h4><p>Ten tricks</p></div>
+    <div class="responses"><p>Great post, as ever</p></div></article>"""
+    words = ["ash", "oak", "elm", "fir", "yew", "box"]
+    got = extracted(spark, [(f"http://h.example/{w}", body.format(w=w)) for w in words])
+    assert got == {n: f"On {w}\n\nAll about {w} here\n\nPrice of {w}" for n, w in enumerate(words)}
+
+
+def test_a_constant_main_element_is_not_the_article(spark):
+    body = "<body><div class='story'><h1>{w}</h1><p>Story of {w}</p></div><main>Site search tips</main></body>"
+    words = ["ash", "oak", "elm", "fir", "yew", "box"]
+    got = extracted(spark, [(f"http://h.example/{w}", body.format(w=w)) for w in words])
+    assert got == {n: f"{w}\n\nStory of {w}" for n, w in enumerate(words)}
+
+
+def test_records_and_boxes_of_links_go(spark):
+    page = """<body><div class="ka"><a href="/">Home</a> <a href="/a">About {w}</a></div><div class="kb"><h1>On {w}</h1><p>A long story of {w} and of other trees</p><p>Its end in {w}</p></div>
+    <div class="kc">{thread}</div><div class="kd">Made by hand</div></body>"""
+    words = ["ash", "oak", "elm", "fir", "yew", "box"]
+    said = "<div class='ke'><div class='kf'>{w} fan {k}</div><div class='kg'>I like it</div></div>"
+    rows = [(f"http://h.example/{w}", page.format(w=w, thread="".join(said.format(w=w, k=k) for k in range(n % 4)))) for n, w in enumerate(words)]
+    want = {n: f"On {w}\n\nA long story of {w} and of other trees\n\nIts end in {w}" for n, w in enumerate(words)}
+    assert extracted(spark, rows) == want
+
+
+def test_sections_with_headings_are_no_records(spark):
+    page = "<body>" + "<section><h2>{w} {k}</h2><p>Part {k} of {w}</p></section>" * 3 + "</body>"
+    rows = [(f"http://{w}.example/", "".join(page.format(w=w, k=k) for k in range(1))) for w in ("ash", "oak", "elm")]
+    assert extracted(spark, rows)[0].startswith("ash 0\n\nPart 0 of ash")
+
+
+def test_one_rule_for_small_hosts(spark):
+    body = "<body><div>Welcome</div><p>Story {w}</p></body>"
+    two = [(f"http://two.example/{w}", body.format(w=w)) for w in ("ash", "oak")]
+    three = [(f"http://three.example/{w}", body.format(w=w)) for w in ("ash", "oak", "elm")]
+    got = extracted(spark, two + three)
+    assert [got[k] for k in range(5)] == ["Welcome\n\nStory ash", "Welcome\n\nStory oak", "Story ash", "Story oak", "Story elm"]
+
+
+def test_the_shuffled_join_gives_the_same(spark, monkeypatch):
+    rows = [(n, f"http://h{n % 3}.example/{n}", PAGE.format(n=n % 8), None, None, None) for n in range(24)]
+    want = sorted(map(tuple, html_extract.extract(spark.createDataFrame(rows, PAGES)).collect()))
+    monkeypatch.setattr(html_extract, "BROADCAST_NUMBERS", -1)
+    monkeypatch.setattr(html_extract, "BROADCAST_COPIES", 0)
+    assert sorted(map(tuple, html_extract.extract(spark.createDataFrame(rows, PAGES)).collect())) == want
+
+
+def test_hosts_as_the_url_filter_has_them(spark):
+    urls = [None, "", "x", "http://A.é.Example/p?q#f", "://", "http://h?x://y", "a://b://c/d", "HTTP://ÀB#f", "http://x\ny/z"]
+    from shardsort.llm.url_filter import split_url
+
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    got = {r["url"]: r["host"] for r in df.withColumn("host", html_extract.host_of(df["url"])).collect()}
+    assert got == {u: split_url(u)[0] for u in urls}

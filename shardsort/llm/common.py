@@ -22,6 +22,8 @@ from shardsort.functions.durable import durable, written
 #: Arrow batches handed to Python hold at most this many rows and bytes.
 BATCH_ROWS = 1024
 BATCH_BYTES = 16 << 20
+#: More rows than these of one key are dealt over several tasks of a join.
+HOT_ROWS = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,12 +71,18 @@ def arrow_rows(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
     return zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names), strict=True)
 
 
+#: Bits of a filter, at most: 64 MB.
+MAX_BITS = 1 << 29
+
+
 class KeyFilter:
-    """A Bloom filter over 128-bit (or longer) digests, of a size bound given in advance.
+    """A Bloom filter over 128-bit (or longer) digests, sized by their number.
 
     It only ever spares work: a key that was added is always reported, so what passes it is a
-    superset and the exact join that follows decides. Its bits never exceed ``max_bits`` however
-    many keys there are, so it may be sent to every task.
+    superset and the exact step that follows decides. It has some 16 bits a key (a false answer in
+    1,000), and never more than ``max_bits`` in all, so it may be sent to every task: 64 MB, which
+    is 8 bits for each of 67 million keys (one in 40 false). With 200 million keys every third
+    answer is false, and what passes needlessly is shuffled and dropped.
     """
 
     PROBES = 5
@@ -84,7 +92,7 @@ class KeyFilter:
         self.words = np.zeros(bits >> 6, np.uint64) if words is None else words
 
     @staticmethod
-    def sized(keys: int, max_bits: int = 1 << 25) -> int:
+    def sized(keys: int, max_bits: int = MAX_BITS) -> int:
         """A power of two of about 16 bits a key, within the bound."""
         return int(min(max_bits, max(1 << 12, 1 << int(16 * max(1, keys) - 1).bit_length())))
 
@@ -108,7 +116,7 @@ class KeyFilter:
         return ((self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=1)
 
     @classmethod
-    def over(cls, keys: DataFrame, column: str, max_bits: int = 1 << 25) -> KeyFilter:
+    def over(cls, keys: DataFrame, column: str, max_bits: int = MAX_BITS) -> KeyFilter:
         """Filter of all digests of a binary column: built per partition, ORed word by word.
 
         Only non-zero words travel; the driver receives at most ``max_bits`` / 64 of them.
@@ -152,6 +160,26 @@ def salted_join(many: DataFrame, few: DataFrame, on: list[str], how: str, broadc
     return dealt.join(repeated, [*on, salt], how).drop(salt)
 
 
+def dealt_join(many: DataFrame, few: DataFrame, key: str, rows: str, how: str = "inner", hot: int = HOT_ROWS) -> DataFrame:
+    """Join on a key whose row of ``few`` says, in the column ``rows``, how many rows of ``many`` have it.
+
+    A key of more than ``hot`` rows is dealt over as many tasks as make up ``hot`` rows each; such
+    keys are few (all rows over ``hot``), so their list is sent to every task. ``how`` is inner or
+    left; null keys match nothing, and with left they are not shuffled.
+    """
+    parts, part = fresh(many, "parts"), fresh(many, "part")
+    few = durable(few)
+    number = F.ceil(F.col(rows) / hot).cast("int")
+    crowded = few.filter(F.col(rows) > hot).select(key, number.alias(parts))
+    dealt = many.filter(F.col(key).isNotNull()).join(F.broadcast(crowded), key, "left")
+    dealt = dealt.withColumn(part, F.pmod(F.monotonically_increasing_id(), F.coalesce(parts, F.lit(1))).cast("int")).drop(parts)
+    repeated = few.withColumn(part, F.explode(F.sequence(F.lit(0), F.greatest(number, F.lit(1)) - 1)))
+    joined = dealt.join(repeated, [key, part], how).drop(part)
+    if how == "inner":
+        return joined
+    return joined.unionByName(many.filter(F.col(key).isNull()), allowMissingColumns=True)
+
+
 def table_of_at_most(df: DataFrame, rows: int) -> DataFrame:
     """Hint that df be sent to every task, but only if it is counted to be within the bound."""
     counted = durable(df)

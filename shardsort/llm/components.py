@@ -1,7 +1,7 @@
 """Connected components of a graph of links, by alternating large and small stars.
 
-Every step is a min-aggregate and a join of edge tables, so no component is gathered anywhere. Each
-round is cut with a checkpoint; the number of rounds grows with the logarithm of the longest chain.
+Every step is a min-aggregate and a join of edge tables, so no component is gathered anywhere; the
+edges of a hub are dealt over many tasks. Each round is cut with a checkpoint; the number of rounds grows with the logarithm of the longest chain.
 """
 
 from __future__ import annotations
@@ -9,20 +9,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardsort.llm.common import durable
+from shardsort.llm.common import dealt_join, durable
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each vertex points its larger neighbours to the least of itself and its neighbours."""
     both = durable(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-    least = durable(both.groupBy("u").agg(F.min("v").alias("m")))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("rows"))
+    return dealt_join(both.filter("v > u"), least, "u", "rows").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each vertex points itself and its smaller neighbours to the least of these; edges have v < u."""
-    least = durable(edges.groupBy("u").agg(F.min("v").alias("m")))
-    joined = edges.join(least, "u")
+    least = durable(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("rows")))
+    joined = dealt_join(edges, least, "u", "rows")
     moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return moved.filter("u != v").distinct()
 

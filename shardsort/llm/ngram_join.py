@@ -21,13 +21,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardsort.llm.common import KeyFilter, arrow_rows, bounded_batches, durable, fresh, table_of_at_most, widened
+from shardsort.llm.common import KeyFilter, arrow_rows, bounded_batches, dealt_join, durable, fresh, salted_join, widened
 from shardsort.llm.components import components
 
 #: Words of an n-gram, least similarity of a link, and the probability to find a link just there.
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9999
-#: MinHash values of a signature, at most.
-MOST_HASHES = 128
+#: MinHash values of a signature, unless even bands of one value need more.
+USUAL_HASHES = 128
 #: Nodes and n-grams in one block of a bucket.
 BLOCK_NODES, BLOCK_GRAMS = 256, 400_000
 #: So many pairs are intersected one by one, more all together.
@@ -40,16 +40,21 @@ _WORD = re.compile(r"\w+")
 _NO_ID = -(1 << 63)
 
 
-def bands_for(similarity: float = SIMILARITY, recall: float = RECALL, hashes: int = MOST_HASHES) -> tuple[int, int]:
-    """(bands, rows): the tallest bands that find a pair at `similarity` with probability `recall`."""
-    best = (hashes, 1)
+def bands_for(similarity: float = SIMILARITY, recall: float = RECALL, hashes: int = USUAL_HASHES) -> tuple[int, int]:
+    """(bands, rows): the tallest bands of `hashes` values that find a pair at `similarity` with probability `recall`.
+
+    Where none do, bands of one value, as many as the recall takes.
+    """
+    if not (0 < similarity <= 1 and 0 < recall < 1):
+        raise ValueError("similarity must be above 0 and at most 1, recall between 0 and 1")
+    best = None
     for rows in range(1, hashes + 1):
         chance = similarity**rows
-        if chance < 1e-9:
-            break
-        bands = math.ceil(math.log(1 - recall) / math.log1p(-chance)) if chance < 1 else 1
-        if bands * rows <= hashes:
+        bands = math.ceil(math.log(1 - recall) / math.log1p(-chance)) if 1e-12 < chance < 1 else 1 if chance == 1 else math.inf
+        if best is None or bands * rows <= hashes:
             best = (bands, rows)
+    if best[0] == math.inf:
+        raise ValueError(f"no number of bands finds pairs at similarity {similarity}")
     return best
 
 
@@ -154,8 +159,8 @@ def _crowded(nodes: DataFrame) -> DataFrame:
 
     members = durable(nodes.select("node", "keys").mapInArrow(run, "key long, node binary"))
     buckets = members.groupBy("key").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-    chosen = buckets.filter("members > 1").groupBy("members", "x", "y").agg(F.min("key").alias("key")).select("key")
-    return durable(members.join(durable(chosen), "key"))
+    chosen = buckets.filter("members > 1").groupBy("members", "x", "y").agg(F.min("key").alias("key")).select("key", "members")
+    return durable(dealt_join(members, chosen, "key", "members").select("key", "node"))
 
 
 def _sets(df: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -295,11 +300,11 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
     an identifier are documents of their own, linked as their texts are. A null doc_id sorts before
     all others, as a class_id it is null. Other columns are not read; an empty table gives no rows.
     """
-    return _classed(df, doc_id, text, n, similarity, recall).drop("node")
+    return _classed(df, doc_id, text, n, similarity, recall).select("doc_id", "class_id", "n_links")
 
 
 def _classed(df: DataFrame, doc_id: str, text: str, n: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """The same with the node of each row, null without words."""
+    """The same with the node of each row, null without words, and the node of its class that stays."""
     bounded_batches(df.sparkSession)
     bands, rows = bands_for(similarity, recall)
     source = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
@@ -314,41 +319,46 @@ def _classed(df: DataFrame, doc_id: str, text: str, n: int = WORDS, similarity:
     held = wanted.join(sets.select("node", "least", "grams"), ["node", "least"]).dropDuplicates(["node"])
     sizes = members.join(wanted.select("node", "n_grams"), "node").groupBy("key").agg(F.count("*").alias("members"), F.sum("n_grams").alias("all_grams"))
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK_NODES), F.ceil(F.col("all_grams") / BLOCK_GRAMS)).cast("int")
-    placed = members.join(durable(sizes.select("key", blocks.alias("blocks"))), "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    placed = dealt_join(members, sizes.select("key", "members", blocks.alias("blocks")), "key", "members").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("key", "node", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
     links = durable(_verified(placed.join(durable(held), "node"), similarity))
     linked = components(links.select(F.col("node").alias("u"), F.col("root").alias("v")))
     within = linked.join(nodes.select("node", "least"), "node")
-    of_root = within.groupBy("root").agg(F.min("least").alias("class"))
-    named = within.join(durable(of_root), "root").select("node", "class")
+    of_root = within.groupBy("root").agg(F.min(F.struct("least", "node")).alias("first"), F.count("*").alias("members"))
+    named = dealt_join(within.select("root", "node"), of_root, "root", "members").select("node", F.col("first.least").alias("class"), F.col("first.node").alias("stays"))
     counted = links.groupBy("node").agg(F.sum("n_links").alias("found"))
-    found = durable(nodes.select("node", "least", "documents").join(counted, "node", "left").join(named, "node", "left"))
-    joined = signed.select("id", "node").join(found, "node", "left")
+    found = nodes.select("node", "least", "documents").join(counted, "node", "left").join(named, "node", "left")
+    joined = dealt_join(signed.select("id", "node"), found, "node", "documents", "left")
     least = F.coalesce("class", "least")
     return joined.select(
         F.col("id").alias("doc_id"),
         "node",
+        F.coalesce("stays", "node").alias("stays"),
         F.when(F.col("node").isNull(), F.col("id")).otherwise(F.when(least != _NO_ID, least)).alias("class_id"),
         F.coalesce(F.col("documents") - 1 + F.coalesce("found", F.lit(0)), F.lit(0)).alias("n_links"),
     )
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The document with the smallest doc_id of each class, with all its columns.
+    """One row of each class, with all its columns: that with the smallest doc_id (null first).
 
-    Of rows that repeat that identifier within the class all stay; where an identifier stands for
-    texts of several classes, its rows are told apart by their nodes. What is dropped is sent to
-    every task where it is counted to be within BROADCAST_ROWS; beyond that the join is shuffled.
+    Rows are told apart by identifier and node (the set of n-grams): where an identifier stands for
+    several nodes of a class the least node stays, and of rows that repeat both one stays. Null,
+    empty and wordless texts are classes of their own and all stay; an empty table stays empty.
+    Lists of identifiers are sent to every task where they are counted to be within BROADCAST_ROWS;
+    beyond that the joins are shuffled.
     """
-    found = _classed(df, doc_id, text)
-    gone = ~F.col("doc_id").eqNullSafe(F.col("class_id"))
-    of_id, of_node, node = (fresh(df, name) for name in ("dropped_id", "dropped_node", "node"))
-    ids = found.groupBy("doc_id").agg(F.bool_or(gone).alias("some"), F.bool_and(gone).alias("every"))
-    ids = table_of_at_most(ids.filter("some").select(F.col("doc_id").alias(of_id), "every"), BROADCAST_ROWS)
-    same_id = df[doc_id].cast("long").eqNullSafe(F.col(of_id))
-    clear = df.join(ids, same_id, "left_anti")
-    mixed = table_of_at_most(ids.filter("not every").select(of_id), BROADCAST_ROWS)
+    key, node, state = (fresh(df, name) for name in ("id_key", "node", "state"))
+    found = durable(_classed(df, doc_id, text))
+    stays = F.col("node").isNull() | (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("stays")))
+    told = found.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias(key), "node", stays.alias("stays"))
+    ids = told.groupBy(key).agg(F.count("*").alias("rows"), F.count_if("stays").alias("staying"))
+    # An identifier of one row that stays needs no join; of the others either no row stays, or rows are looked at.
+    some = ids.filter("rows > 1 or staying = 0").select(key, (F.col("staying") > 0).alias(state))
+    rows = salted_join(df.withColumn(key, F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID))), some, [key], "left", BROADCAST_ROWS)
+    clear = rows.filter(F.col(state).isNull()).drop(key, state)
+    mixed = ids.filter("rows > 1 and staying > 0").select(key)
     if mixed.isEmpty():
         return clear
 
@@ -359,11 +369,12 @@ def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
             nodes = pa.array([_node(g) if len(g) else None for g in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, nodes], names=[*batch.schema.names, node])
 
-    rows = df.join(mixed, same_id, "left_semi").mapInArrow(run, widened(df, f"`{node}` binary"))
-    drop = found.filter(gone).join(mixed, F.col("doc_id").eqNullSafe(F.col(of_id)), "left_semi")
-    drop = table_of_at_most(drop.select(F.col("doc_id").alias(of_id), F.col("node").alias(of_node)).distinct(), BROADCAST_ROWS)
-    rest = rows.join(drop, rows[doc_id].cast("long").eqNullSafe(F.col(of_id)) & (rows[node] == F.col(of_node)), "left_anti")
-    return clear.unionByName(rest.drop(node))
+    looked = rows.filter(F.col(state)).drop(state)
+    looked = durable(looked.mapInArrow(run, widened(looked, f"`{node}` binary")))
+    kept = told.filter("stays and node is not null").join(F.broadcast(mixed) if mixed.count() <= BROADCAST_ROWS else mixed, key, "left_semi")
+    kept = kept.select(key, F.col("node").alias(node)).distinct()
+    one = looked.filter(F.col(node).isNotNull()).join(kept, [key, node], "left_semi").dropDuplicates([key, node])
+    return clear.unionByName(one.drop(key, node)).unionByName(looked.filter(F.col(node).isNull()).drop(key, node))
 
 
 #: Exact, over all pairs that share an n-gram; banding misses less than one link in 10,000 of these.

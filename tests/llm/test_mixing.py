@@ -58,9 +58,9 @@ def test_buckets_change_nothing_and_reruns_agree(docs):
 
 @pytest.mark.parametrize("sizes", [{"a": 10, "b": 1000, "c": 3}, {"a": 0, "b": 5}, {"a": 7}, {None: 9, "z": 100, "é": 50, "A": 1, "zz": 0}, {f"s{k:04d}": 10**15 + 10**12 * (k % 7) for k in range(800)}])
 def test_water_level(spark, sizes):
-    rows = [(k, source, size) for k, (source, size) in enumerate(sizes.items())]
-    got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(rows, "doc_id long, source string, size long")).collect()}
-    assert got == pytest.approx(water_fill(sizes))
+    rows = [(source, f"={source}" if source is not None else "", size, 1, False) for source, size in sizes.items()]
+    got = {r["of"]: r["target"] for r in mixing.targets(spark.createDataFrame(rows, "source string, of string, size long, equal long, low boolean")).collect()}
+    assert got == pytest.approx({f"={s}" if s is not None else "": v for s, v in water_fill(sizes).items()})
 
 
 def test_heavier_documents_come_earlier(spark):
@@ -88,3 +88,27 @@ def test_main_path_is_native(docs):
 
 def test_empty(no_docs):
     assert mixing.mix(no_docs).count() == 0 and mixing.repeat_rows(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("unfold", [4096, 7])
+def test_equal_rows_are_taken_one_by_one(spark, monkeypatch, unfold):
+    """100 equal rows without a number and 40 repeated rows: the mix takes one and a half times as many."""
+    monkeypatch.setattr(mixing, "UNFOLD", unfold)
+    for rows in ([(None, "five words are in here", None, "s")] * 100, [(3, "five words are in here", None, None)] * 40):
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)
+        taken = [r["taken"] for r in mixing.mix(df).collect()]
+        assert len(taken) == len(rows) and sum(taken) == 5 * len(rows) * 3 // 2 and set(taken) == {5, 10}
+        assert mixing.repeat_rows(df).count() == len(rows) * 3 // 2
+
+
+def test_documents_without_a_number_have_draws_of_their_own(spark):
+    rows = [(None, f"text number {k}", None, "s") for k in range(300)]
+    draws = {r["draw"] for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert len(draws) == 300
+
+
+def test_buckets_are_even_whatever_the_weights(spark):
+    rows = [(k, "abcde " * 5 if k % 3 else "a " * 5, None, "s") for k in range(4000)]
+    placed = mixing._placed(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), "doc_id", "text", "source", 100)
+    counts = [r["count"] for r in placed.groupBy("bucket").count().collect()]
+    assert len(counts) == 40 and max(counts) < 160

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from shardsort.llm import components, ngram_join
+from shardsort.llm import common, components, ngram_join
 
 
 def grams(text):
@@ -16,6 +16,12 @@ def grams(text):
 
 def brute(rows):
     """(doc_id, class_id, n_links) of every row."""
+    links, group, least = grouped(rows)
+    return Counter((rows[i][0], rows[least[group[i]]][0], len(links[i])) for i in range(len(rows)))
+
+
+def grouped(rows):
+    """Links and class of every row, and the row with the least number (null first) of every class."""
     sets = [grams(t) for _, t in rows]
     near = lambda a, b: bool(a and b) and len(a & b) >= 0.8 * len(a | b) - 1e-9
     links = [[j for j, b in enumerate(sets) if j != i and near(a, b)] for i, a in enumerate(sets)]
@@ -25,7 +31,7 @@ def brute(rows):
             group[i] = min([group[i], *(group[j] for j in others)])
     key = lambda i: (rows[i][0] is not None, rows[i][0] or 0)
     least = {g: min((i for i in range(len(rows)) if group[i] == g), key=key) for g in set(group)}
-    return Counter((rows[i][0], rows[least[group[i]]][0], len(links[i])) for i in range(len(rows)))
+    return links, group, least
 
 
 def frame(spark, rows):
@@ -75,7 +81,12 @@ def test_blocks_may_be_empty(spark, monkeypatch):
 def test_bands_reach_the_recall():
     for similarity, recall in ((0.8, 0.9999), (0.8, 0.99), (0.5, 0.9)):
         bands, rows = ngram_join.bands_for(similarity, recall)
-        assert bands * rows <= ngram_join.MOST_HASHES and 1 - (1 - similarity**rows) ** bands >= recall
+        assert bands * rows <= ngram_join.USUAL_HASHES and 1 - (1 - similarity**rows) ** bands >= recall
+    bands, rows = ngram_join.bands_for(0.02, 0.9999)  # more hashes than usual
+    assert rows == 1 and 1 - 0.98**bands >= 0.9999
+    for similarity, recall in ((0, 0.9), (1.1, 0.9), (0.5, 1), (1e-13, 0.9)):
+        with pytest.raises(ValueError):
+            ngram_join.bands_for(similarity, recall)
 
 
 def test_band_collisions_match_theory():
@@ -116,7 +127,26 @@ def test_components(spark):
 def test_one_of_each_class_stays(docs, rows):
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns
-    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(i for i, c, _ in brute([r[:2] for r in rows]).elements() if i == c)
+    plain = [r[:2] for r in rows]
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(plain[i][0] for i in grouped(plain)[2].values())
+
+
+def test_of_repeated_rows_one_stays(spark, monkeypatch):
+    words = [f"w{k}" for k in range(60)]
+    near = " ".join([*words[:30], "other", *words[31:]])
+    rows = [(5, " ".join(words))] * 3 + [(5, near), (5, near.upper()), (None, "the same"), (None, "the same"), (None, "another one"), (6, None), (6, None)]
+    df = frame(spark, rows)
+    for _ in range(2):
+        kept = Counter(map(tuple, ngram_join.keep_one(df).collect()))
+        assert sum(kept.values()) == 5 and kept[(None, "the same")] == kept[(None, "another one")] == 1 and kept[(6, None)] == 2
+        assert sum(n for (i, _), n in kept.items() if i == 5) == 1
+        monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
+
+
+def test_hot_keys_are_dealt(spark, docs, rows, monkeypatch):
+    """Every key of more than one row is hot."""
+    monkeypatch.setattr(common.dealt_join, "__defaults__", ("inner", 1))
+    assert Counter(map(tuple, ngram_join.classes(docs).collect())) == brute([r[:2] for r in rows])
 
 
 def test_a_repeated_number_goes_only_with_the_near_copy(spark):

@@ -48,3 +48,30 @@ def test_fit_repeats_and_takes_a_bounded_sample(spark, small):
     docs, labels = table(spark, small, "documents"), table(spark, small, "labels")
     a, b = (quality.fit(docs.repartition(n), labels, sample_rows=20) for n in (1, 5))
     assert a.bias == b.bias and (a.linear == b.linear).all() and (a.factors == b.factors).all()
+
+
+def test_the_fit_is_bounded_in_rows_and_features(spark, small, monkeypatch):
+    """A number of many rows is one row, and features count towards a bound of their own."""
+    given = []
+    monkeypatch.setattr(quality, "train", lambda rows: given.append(rows))
+    rows = [(2, f"row number {k} of two", "en", "s", None) for k in range(300)] + [(k, f"text {k}", "en", "s", None) for k in range(3, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(2, 40)], "doc_id long, quality int")
+    quality.fit(docs, labels, sample_rows=1)
+    quality.fit(docs, labels)
+    quality.fit(docs, labels, sample_features=100)
+    allowed = [k for k in range(2, 40) if zlib.crc32(str(k).encode()) % 3 != 1]
+    assert len(given[0]) == 1 and len(given[1]) == len(allowed)
+    assert 0 < len(given[2]) < len(allowed) and sum(len(x[1]) for x in given[2]) <= 100
+
+
+def test_scores_like_brute_force(spark, small):
+    """Every score is the machine's formula over all pairs of features."""
+    docs, labels = table(spark, small, "documents"), table(spark, small, "labels")
+    machine = quality.fit(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in quality.scored(docs, labels).collect()}
+    for r in docs.orderBy("n_chars").limit(40).collect():
+        slots, x = quality.features(r["text"], r["n_chars"], quality._Slots())
+        v = machine.factors[slots] * x[:, None]
+        pairs = np.triu(v @ v.T, 1).sum()
+        assert np.isclose(got[r["doc_id"]], 1 / (1 + np.exp(-(machine.bias + x @ machine.linear[slots] + pairs))), atol=1e-4)

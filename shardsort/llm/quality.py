@@ -176,73 +176,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, samp
     return train([(int(r["label"] > 0), np.frombuffer(r["slots"], "<u2").astype(np.int64), np.frombuffer(r["values"], "<f4").astype(np.float64)) for r in found])
 
 
-def score(self, slots: np.ndarray, values: np.ndarray) -> float:
-        sums = values @ self.factors[slots]
-        pairs = 0.5 * (sums @ sums - (values * values) @ self.squares[slots])
-        margin = self.bias + values @ self.linear[slots] + pairs
-        return float(1 / (1 + np.exp(-np.clip(margin, -30, 30))))
-
-
-def train(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS, seed: int = 7) -> Machine:
-    """Adagrad on the log loss, row by row in a seeded order. Without rows every score is 0.5."""
-    rng = np.random.default_rng(seed)
-    bias, linear = 0.0, np.zeros(SLOTS)
-    factors = rng.normal(0, 0.02, (SLOTS, FACTORS))
-    if not rows:
-        return Machine(0.0, linear, np.zeros_like(factors))
-    bias_seen, linear_seen, factors_seen = 1e-2, np.full(SLOTS, 1e-2), np.full((SLOTS, FACTORS), 1e-2)
-    rate, shrink = 0.1, 1e-5
-    for _ in range(epochs):
-        for r in rng.permutation(len(rows)):
-            label, at, x = rows[r]
-            v, w = factors[at], linear[at]
-            sums = x @ v
-            margin = bias + x @ w + 0.5 * (sums @ sums - ((x * x) @ (v * v)).sum())
-            slope = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - label
-            bias_seen += slope * slope
-            bias -= rate * slope / np.sqrt(bias_seen)
-            step = slope * x + shrink * w
-            linear_seen[at] += step * step
-            linear[at] = w - rate * step / np.sqrt(linear_seen[at])
-            step = slope * (x[:, None] * sums[None, :] - v * (x * x)[:, None]) + shrink * v
-            factors_seen[at] += step * step
-            factors[at] = v - rate * step / np.sqrt(factors_seen[at])
-    return Machine(float(bias), linear, factors)
-
-
-def held_out(doc_id: str = "doc_id"):
-    """Rows never learned from: crc32 of the identifier as text (null: empty) is 1 modulo 3."""
-    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 3 == 1
-
-
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Machine:
-    """Fit on at most `sample_rows` labelled documents that are not held out.
-
-    Rows without a label or without a document are passed over; of several labels of a document
-    the largest counts. The chosen identifiers (a bounded table) are sent to the scan of the
-    documents, and only their features reach the driver.
-    """
-    bounded_batches(docs.sparkSession)
-    known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    chosen = known.groupBy("doc_id").agg(F.max("quality").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    chosen = chosen.select(F.col("doc_id").alias("__id"), "label")
-    rows = docs.select("doc_id", "text", "n_chars").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", "label", "text", "n_chars")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = _Slots()
-        for batch in batches:
-            out = []
-            for doc_id, label, text, n_chars in arrow_rows(batch, "doc_id", "label", "text", "n_chars"):
-                at, x = features(text, n_chars, slots)
-                out.append((doc_id, label, at.astype("<u2").tobytes(), x.astype("<f4").tobytes()))
-            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kinds[k]) for k in range(4)], names=["doc_id", "label", "slots", "values"])
-
-    found = rows.select("doc_id", F.col("label").cast("int").alias("label"), "text", F.col("n_chars").cast("long").alias("n_chars")).mapInArrow(run, "doc_id long, label int, slots binary, values binary").collect()
-    found.sort(key=lambda r: (r[0], r[1], bytes(r[3])))
-    return train([(int(r[1] > 0), np.frombuffer(r[2], "<u2").astype(np.int64), np.frombuffer(r[3], "<f4").astype(np.float64)) for r in found])
-
-
 def score(df: DataFrame, machine: Machine, text: str = "text", n_chars: str = "n_chars", out: str = "score") -> DataFrame:
     """Add the score (0 to 1, higher: label 1 likelier) of every row's whole text.
 

@@ -44,9 +44,33 @@ def test_memtable_flushes_sorted_runs():
 def test_compaction_of_an_index_and_later_runs(spark, docs):
     first, later = docs.filter("doc_id < 10"), docs.filter("doc_id >= 10 or doc_id is null")
     sign = lambda df: exact_dedup.signatures(df, "doc_id", "text", 32)
-    step = exact_dedup.compact(exact_dedup.compact(exact_dedup.flushed_runs(sign(first))), exact_dedup.flushed_runs(sign(later)))
+    step = exact_dedup.compact(exact_dedup.compact(exact_dedup.flushed_runs(sign(first))).entries, exact_dedup.flushed_runs(sign(later)))
     whole = exact_dedup.compact(exact_dedup.flushed_runs(sign(docs)))
-    assert sorted(map(tuple, step.collect())) == sorted(map(tuple, whole.collect()))
+    assert sorted(map(tuple, step.entries.collect())) == sorted(map(tuple, whole.entries.collect()))
+
+
+@pytest.mark.parametrize("ranges", [1, 7, 64])
+def test_every_run_has_a_filter_of_its_repeated_digests(spark, ranges):
+    rows = [(k, f"text {k % 400}") for k in range(600)]
+    signed = exact_dedup.signatures(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 32)
+    level = exact_dedup.compact(exact_dedup.flushed_runs(signed, 50), ranges=ranges)
+    counts = {bytes(r["digest"]): r["n_rows"] for r in level.entries.collect()}
+    assert len(counts) == 400 and set(level.filters) <= set(range(ranges)) and len(level.filters) > ranges // 2
+    said = dict(zip(counts, level.may_repeat()(list(counts)), strict=True))
+    assert all(said[d] for d, n in counts.items() if n > 1) and sum(said[d] for d, n in counts.items() if n == 1) < 10
+    assert all(not level.filters[r][1].any() or level.filters[r][0] >= 1 << 12 for r in level.filters)
+
+
+def test_a_task_hands_on_one_copy_of_a_text(spark):
+    rows = [(k, "the same text" if k % 3 else f"text {k % 9}") for k in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    level = exact_dedup.compact(exact_dedup.flushed_runs(exact_dedup.signatures(df, "doc_id", "text", 32)))
+    assert exact_dedup._hit_texts(df, "text", 32, level).count() <= 4 * 4
+
+
+def test_hot_digests_are_dealt(docs, rows, monkeypatch):
+    monkeypatch.setattr(exact_dedup.dealt_join, "__defaults__", ("inner", 1))
+    assert Counter(map(tuple, exact_dedup.mark_copies(docs).collect())) == brute(rows)
 
 
 def test_drop_keeps_one_of_each_with_all_columns(docs, rows):

@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ MEMO_ENTRIES = 150_000
 MEMO_CHARS = 64
 #: Texts are split in lots of about so many characters, and so many short pre-tokens share a queue.
 SPLIT_CHARS, QUEUE_PIECES = 2_000_000, 3000
-#: Stands for a byte that has no rank of its own.
+#: Stands for a byte that has no rank of its own; a text that needs it is refused.
 NO_BYTE = 1 << 40
 
 
@@ -135,6 +136,8 @@ class Encoder:
                     break
         ids = np.array(symbol, np.int64)
         live = ids >= 0
+        if len(ids) and ids.max() >= NO_BYTE:
+            raise ValueError(f"the rank table has no token for the byte {joined[int(ids.argmax())]:#04x}")
         packed = ids[live].astype("<u4").tobytes()
         stops = (np.cumsum(live)[ends - 1] * 4).tolist()
         return [packed[a:b] for a, b in zip([0, *stops], stops)]
@@ -174,41 +177,53 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=2)
-def _ranks_file(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as lines:
-        return read_ranks(lines)
-
-
-class _Decoder:
+class Decoder:
     """Bytes of packed ids."""
 
-    def __init__(self, ranks_path: str):
-        self.token_of = {rank: token for token, rank in _ranks_file(ranks_path).items()}.__getitem__
+    def __init__(self, ranks: dict[bytes, int]):
+        self.token_of = {rank: token for token, rank in ranks.items()}.__getitem__
 
     def decode(self, packed: bytes | None) -> bytes:
         return b"".join(map(self.token_of, np.frombuffer(packed or b"", "<u4").tolist()))
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(_ranks_file(path), pattern)
+def _table(file: bytes) -> dict[bytes, int]:
+    return read_ranks(file.splitlines())
+
+
+@lru_cache(maxsize=2)
+def _encoder(file: bytes, pattern: str) -> Encoder:
+    return Encoder(_table(file), pattern)
+
+
+@lru_cache(maxsize=2)
+def _decoder(file: bytes) -> Decoder:
+    return Decoder(_table(file))
+
+
+def _sent(df: DataFrame, ranks_path: str):
+    """The rank file (about a megabyte), read here and sent to every worker."""
+    bounded_batches(df.sparkSession)
+    return df.sparkSession.sparkContext.broadcast(Path(ranks_path).read_bytes())
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """Add the packed ids (little-endian unsigned 32-bit, one after another) of every text.
 
-    ``ranks_path`` is a rank file that each machine has (its place is a parameter). Each match of
-    ``pattern`` is encoded by itself, without special tokens. Null and empty texts give no ids;
-    texts and pre-tokens of any length are encoded whole; repeated rows each get their own result.
-    A column already named ``ids`` is replaced; other columns pass through.
+    ``ranks_path`` is a rank file that the driver has (its place is a parameter). Each match of
+    ``pattern`` is encoded by itself, without special tokens; a text with a byte that the table has
+    no token for raises. Null and empty texts give no ids; texts and pre-tokens of any length are
+    encoded whole; repeated rows each get their own result; of pairs of equal rank the leftmost is
+    merged first; an empty table gives no rows. A column already named ``ids`` is replaced; other
+    columns pass through.
     """
-    bounded_batches(df.sparkSession)
+    sent = _sent(df, ranks_path)
     kept = df.drop(ids)
     schema = widened(kept, f"`{ids}` binary")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(ranks_path, pattern)
+        encoder = _encoder(sent.value, pattern)
         for batch in batches:
             packed = pa.array(encoder.encode([t for (t,) in arrow_rows(batch, text)]), pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, packed], names=[*batch.schema.names, ids])
@@ -217,13 +232,17 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
-    """Add the bytes that packed ids stand for; null ids count as none, unknown ids raise."""
-    bounded_batches(df.sparkSession)
+    """Add the bytes that packed ids stand for; null ids count as none, unknown ids raise.
+
+    Repeated rows are decoded alike; a column already named ``out`` is replaced, others pass
+    through; an empty table gives no rows.
+    """
+    sent = _sent(df, ranks_path)
     kept = df.drop(out)
     schema = widened(kept, f"`{out}` binary")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = _Decoder(ranks_path)
+        decoder = _decoder(sent.value)
         for batch in batches:
             texts = [decoder.decode(p) for (p,) in arrow_rows(batch, ids)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, out])
@@ -233,11 +252,11 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "token_ids", out: str = "d
 
 def roundtrip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """`encode`, then `decode` of what it gave, in one pass over the rows (half the Python workers)."""
-    bounded_batches(df.sparkSession)
+    sent = _sent(df, ranks_path)
     kept = df.drop(ids, out)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = _encoder(ranks_path, pattern), _Decoder(ranks_path)
+        encoder, decoder = _encoder(sent.value, pattern), _decoder(sent.value)
         for batch in batches:
             packed = encoder.encode([t for (t,) in arrow_rows(batch, text)])
             columns = [*batch.columns, pa.array(packed, pa.binary()), pa.array(map(decoder.decode, packed), pa.binary())]
@@ -247,7 +266,11 @@ def roundtrip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text",
 
 
 def digests(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """Encode and decode documents; per document its id count and the digests of ids and bytes."""
+    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256, after encoding and decoding its whole text.
+
+    Null text counts as empty: no tokens and the digests of nothing. Null and repeated doc_ids each
+    get a row; other columns are not read; an empty table gives no rows.
+    """
     coded = roundtrip(df.select("doc_id", "text"), ranks_path, pattern)
     return coded.select(
         "doc_id",

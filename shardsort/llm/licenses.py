@@ -2,14 +2,17 @@
 
 All phrases and notices go into one suffix automaton over word numbers. A document is streamed
 through it: at each word the automaton gives the longest match that ends there (its matching
-statistic). Matches that cannot be extended are chained, notice by notice, while they advance in
-both the text and the notice; the part of a notice that a chain covers decides the label. A phrase
-is found wherever the current match ends in it, so every place is reported.
+statistic). Matches that cannot be extended are chained, notice by notice: a chain advances in
+both the text and the notice, and of all chains that end with a match the one counts that covers
+most of the notice. Of the chains that cover enough of it, those that lie apart and cover most
+together are its spans. A phrase is found wherever the current match ends in it, so every place is
+reported.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
@@ -47,7 +50,7 @@ NOTICES = (
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
 )
 
-#: A match counts from this many words on; the shortest phrase has three.
+#: A match of a notice counts from this many words on.
 LEAST_MATCH = 3
 #: Text words that may stand between two matches of one chain.
 CHAIN_GAP = 12
@@ -110,21 +113,62 @@ class SuffixAutomaton:
         return new
 
 
-@dataclass
-class _Chain:
-    """Matches of one notice that advance together."""
+@dataclass(frozen=True)
+class Match:
+    """Text words from `begin` up to (not with) `end` that stand in a notice from `start` on."""
 
-    first: int
-    last: int
-    at: int
-    covered: int
+    begin: int
+    end: int
+    start: int
+
+
+def spans_of(matches: list[Match], size: int, gap: int, coverage: float) -> list[tuple[int, int, int]]:
+    """(first word, last word, words covered) of a notice's spans, from its matches in the order of their ends.
+
+    A match may follow another that begins and ends before it, in the text as in the notice, at
+    most ``gap`` text words further on; words that both hold count once. For every match the chain
+    that ends with it and covers most (the shortest of these) is found from those of the matches
+    before it; a longest increasing path, match by match. Of the chains that cover ``coverage`` of
+    the notice's ``size``, the disjoint ones are taken that cover most together.
+    """
+    best: list[tuple[int, int]] = []  # (covered, first word) of the chain that ends with each match
+    window = 0
+    for j, m in enumerate(matches):
+        while matches[window].end < m.begin - gap:
+            window += 1
+        chain = (m.end - m.begin, m.begin)
+        for i in range(window, j):
+            before = matches[i]
+            ahead = m.start - before.start
+            if before.begin < m.begin and before.end < m.end and 0 < ahead and ahead + m.end - m.begin > before.end - before.begin:
+                shared = max(0, before.end - m.begin, before.end - before.begin - ahead)
+                if shared < m.end - m.begin:
+                    chain = max(chain, (best[i][0] + m.end - m.begin - shared, best[i][1]))
+        best.append(chain)
+    enough = sorted({(matches[j].end, first, covered) for j, (covered, first) in enumerate(best) if covered >= coverage * size})
+    ends = [e for e, _, _ in enough]
+    total, taken = [0], []  # most words of disjoint chains among the first k, and whether the k-th is one
+    for k, (end, first, covered) in enumerate(enough):
+        with_it = total[bisect_right(ends, first, 0, k)] + covered
+        taken.append(with_it > total[-1])
+        total.append(max(with_it, total[-1]))
+    spans, k = [], len(enough)
+    while k:
+        end, first, covered = enough[k - 1]
+        if taken[k - 1]:
+            spans.append((first, end - 1, covered))
+            k = bisect_right(ends, first, 0, k - 1)
+        else:
+            k -= 1
+    return spans[::-1]
 
 
 class LicenceScanner:
     """Finds the phrases' places and the notices' spans of a sequence of words."""
 
-    def __init__(self, phrases: Sequence[tuple[str, str]], notices: Sequence[tuple[str, str]]):
+    def __init__(self, phrases: Sequence[tuple[str, str]], notices: Sequence[tuple[str, str]], least_match: int = LEAST_MATCH, chain_gap: int = CHAIN_GAP, coverage: float = COVERAGE):
         self.phrases, self.notices = list(phrases), list(notices)
+        self.least_match, self.chain_gap, self.coverage = least_match, chain_gap, coverage
         texts = [text.split() for _, text in (*phrases, *notices)]
         self.sizes = [len(t) for t in texts]
         self.number: dict[str, int] = {}
@@ -139,6 +183,7 @@ class LicenceScanner:
         self.phrase_ends: list[list[int]] = [[] for _ in a.link]
         for state in sorted(range(1, len(a.link)), key=lambda s: a.length[s]):
             self.phrase_ends[state] = own.get(state, []) + self.phrase_ends[a.link[state]]
+        self.least_run = min([least_match, *self.sizes[: len(self.phrases)]])
         first_notice = len(self.phrases)
         self.notice_ends = [sorted((k, e) for k, e in ends if k >= first_notice) for ends in a.ends]
 
@@ -147,29 +192,31 @@ class LicenceScanner:
         number = self.number
         known = [i for i, w in enumerate(words) if w in number]
         places: list[tuple[str, int, int]] = []
-        spans: list[tuple[str, int, int, float]] = []
-        chains: dict[int, _Chain] = {}
+        matches: dict[int, list[Match]] = {}
         run = 0
         while run < len(known):
             stop = run + 1
             while stop < len(known) and known[stop] == known[stop - 1] + 1:
                 stop += 1
-            if stop - run >= LEAST_MATCH:
-                self._run(words, known[run], known[stop - 1] + 1, places, spans, chains)
+            if stop - run >= self.least_run:
+                self._run(words, known[run], known[stop - 1] + 1, places, matches)
             run = stop
-        for k, chain in chains.items():
-            self._close(k, chain, spans)
+        spans = []
+        for k, own in matches.items():
+            label, size = self.notices[k - len(self.phrases)][0], self.sizes[k]
+            if sum(m.end - m.begin for m in own) >= self.coverage * size:
+                spans += [(label, first, last, covered / size) for first, last, covered in spans_of(own, size, self.chain_gap, self.coverage)]
         return places, sorted(spans, key=lambda s: (s[1], s[2], s[0]))
 
-    def _run(self, words, begin, end, places, spans, chains) -> None:
+    def _run(self, words, begin, end, places, matches) -> None:
         a, number = self.automaton, self.number
         step, link, length = a.step, a.link, a.length
         state = matched = 0
         for i in range(begin, end):
             word = number[words[i]]
             if word not in step[state]:
-                if matched >= LEAST_MATCH:
-                    self._match(i - matched, i, state, spans, chains)
+                if matched >= self.least_match:
+                    self._match(i - matched, i, state, matches)
                 while state and word not in step[state]:
                     state = link[state]
                     matched = length[state]
@@ -179,34 +226,18 @@ class LicenceScanner:
                 for k in self.phrase_ends[state]:
                     if matched >= self.sizes[k]:
                         places.append((self.phrases[k][0], i - self.sizes[k] + 1, i))
-        if matched >= LEAST_MATCH:
-            self._match(end - matched, end, state, spans, chains)
+        if matched >= self.least_match:
+            self._match(end - matched, end, state, matches)
 
-    def _match(self, begin, end, state, spans, chains) -> None:
-        """Chain text words [begin, end) to each notice that holds them."""
-        size = end - begin
+    def _match(self, begin, end, state, matches) -> None:
+        """Text words [begin, end) stand in each notice that the state ends in."""
         for k, at in self.notice_ends[state]:
-            start = at - size + 1
-            mask = ((1 << size) - 1) << start
-            chain = chains.get(k)
-            if chain is not None and begin - chain.last <= CHAIN_GAP and at > chain.at:
-                chain.last, chain.at, chain.covered = end - 1, at, chain.covered | mask
-                continue
-            if chain is not None:
-                if begin <= chain.last and at <= chain.at:
-                    continue
-                self._close(k, chain, spans)
-            chains[k] = _Chain(begin, end - 1, at, mask)
-
-    def _close(self, k, chain, spans) -> None:
-        share = chain.covered.bit_count() / self.sizes[k]
-        if share >= COVERAGE:
-            spans.append((self.notices[k - len(self.phrases)][0], chain.first, chain.last, share))
+            matches.setdefault(k, []).append(Match(begin, end, at - (end - begin) + 1))
 
 
 @lru_cache(maxsize=4)
-def _scanner(phrases, notices) -> LicenceScanner:
-    return LicenceScanner(phrases, notices)
+def _scanner(*settings) -> LicenceScanner:
+    return LicenceScanner(*settings)
 
 
 PLACE = "array<struct<label: string, first_word: int, last_word: int>>"
@@ -215,9 +246,15 @@ _PLACE = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int32()),
 _SPAN = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int32()), ("last_word", pa.int32()), ("coverage", pa.float64())]))
 
 
-def scan(df: DataFrame, text: str = "text", phrases=PHRASES, notices=NOTICES) -> DataFrame:
+def scan(
+    df: DataFrame, text: str = "text", phrases=PHRASES, notices=NOTICES, least_match: int = LEAST_MATCH, chain_gap: int = CHAIN_GAP, coverage: float = COVERAGE
+) -> DataFrame:
     """Replace the text by `words` (their number), `places` of phrases and `spans` of notices.
 
+    Phrases and notices are (label, lower-case words); phrases of any length are found. Matches of
+    notices count from ``least_match`` words on, at most ``chain_gap`` words part two of a chain, and
+    a span covers at least ``coverage`` of its notice.
+
     Null and empty texts have no words, places or spans; texts of any length are read whole;
     repeated rows give repeated results; places may overlap and are all reported, in order. Columns
     named words, places or spans are replaced, all others but the text pass through.
@@ -226,11 +263,11 @@ def scan(df: DataFrame, text: str = "text", phrases=PHRASES, notices=NOTICES) ->
     out = ("words", "places", "spans")
     source = df.drop(*(c for c in out if c != text))
     schema = widened(source.drop(text), f"words long, places {PLACE}, spans {SPAN}")
-    phrases, notices = tuple(phrases), tuple(notices)
+    settings = (tuple(phrases), tuple(notices), least_match, chain_gap, coverage)
     kept = [c for c in source.columns if c != text]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = _scanner(phrases, notices)
+        scanner = _scanner(*settings)
         as_dicts = lambda rows, names: [dict(zip(names, r, strict=True)) for r in rows]
         for batch in batches:
             counts, places, spans = [], [], []
@@ -249,7 +286,9 @@ def scan(df: DataFrame, text: str = "text", phrases=PHRASES, notices=NOTICES) ->
 def labelled(df: DataFrame) -> DataFrame:
     """Per document: base places, labels and a score, from the operator's places and spans.
 
-    The score is 1 where a phrase stands, else the best coverage of a notice (0 without any).
+    The score is 1 where a phrase stands, else the best coverage of a notice (0 without any). Null
+    and empty texts have no words and labels and score 0; null and repeated doc_ids each get a row;
+    other columns are not read; an empty table gives no rows.
     """
     found = scan(df.select("doc_id", "text"))
     base = F.array_sort(F.array_distinct(F.col("places.label")))

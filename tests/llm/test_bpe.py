@@ -73,3 +73,11 @@ def test_documents(docs, rows, expected):
 def test_columns_and_empty(docs, no_docs):
     assert bpe.encode(docs, PATH, public_tokenizers.PATTERN).columns == docs.columns  # token_ids is replaced
     assert bpe.digests(no_docs, PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_a_byte_without_a_rank_is_refused():
+    encoder = bpe.Encoder({b"a": 0, b"b": 1, b"ab": 2, b"bz": 3}, r".+")
+    assert encoder.encode(["abab", "bz"]) == [packed([2, 2]), packed([3])]
+    for text in ("abz z", "z", "abz"):
+        with pytest.raises(ValueError):
+            bpe.Encoder({b"a": 0, b"b": 1, b"ab": 2}, r".+").encode([text])

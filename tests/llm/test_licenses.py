@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -84,3 +85,85 @@ def test_awkward_documents(docs, rows, no_docs):
     got = licenses.labelled(docs).collect()
     assert len(got) == len(rows) and all(r["n_words"] == 0 for r in got if r["n_base"] == 0 and r["doc_id"] in (27, 28, 29))
     assert licenses.labelled(no_docs).count() == 0 and licenses.scan(docs).columns == [c for c in docs.columns if c != "text"] + ["words", "places", "spans"]
+
+
+def every_match(words, notice, least):
+    """Matches by brute force: a stretch that stands in some text and cannot be extended to either side there."""
+    out = []
+    for i in range(len(words)):
+        for j in range(i + least, len(words) + 1):
+            part = words[i:j]
+            for at in range(len(notice) - len(part) + 1):
+                if notice[at : at + len(part)] == part:
+                    out.append(licenses.Match(i, j, at))
+    return out
+
+
+def brute_spans(matches, size, gap, coverage):
+    """Every set of matches is tried as a chain, and every set of chains as the spans."""
+    chains = {}
+    for n in range(1, len(matches) + 1):
+        for chain in itertools.combinations(matches, n):
+            covered, fits = chain[0].end - chain[0].begin, True
+            for a, b in itertools.pairwise(chain):
+                shared = max(0, a.end - b.begin, a.start + a.end - a.begin - b.start)
+                fits &= a.begin < b.begin and a.end < b.end and a.start < b.start and a.start + a.end - a.begin < b.start + b.end - b.begin
+                fits &= b.begin - a.end <= gap and shared < b.end - b.begin
+                covered += b.end - b.begin - shared
+            if fits:
+                last = chain[-1]
+                chains[last] = max(chains.get(last, (0, 0)), (covered, chain[0].begin))
+    good = sorted({(first, m.end, covered) for m, (covered, first) in chains.items() if covered >= coverage * size})
+    most = 0
+    for n in range(1, len(good) + 1):
+        for some in itertools.combinations(good, n):
+            if all(a[1] <= b[0] for a, b in itertools.pairwise(some)):
+                most = max(most, sum(c for _, _, c in some))
+    return most, good
+
+
+def test_spans_like_brute_force():
+    rng = random.Random(9)
+    found = 0
+    for _ in range(400):
+        notice = [str(rng.randrange(6)) for _ in range(rng.randrange(3, 12))]
+        words = []
+        for _ in range(rng.randrange(1, 4)):
+            cut = rng.randrange(len(notice))
+            words += notice[cut:][: rng.randrange(1, 9)] + ["x"] * rng.randrange(3)
+        scanner = licenses.LicenceScanner((), [("n", " ".join(notice))], least_match=2, chain_gap=2, coverage=0.6)
+        held = {}
+        whole = scanner._match
+
+        def keep(begin, end, state, matches, whole=whole, held=held):
+            whole(begin, end, state, matches)
+            held.update(matches)
+
+        scanner._match = keep
+        spans = scanner.scan(words)[1]
+        matches = held.get(0, [])
+        if len(matches) > 9:
+            continue
+        assert set(matches) <= set(every_match(words, notice, 2))
+        most, good = brute_spans(matches, len(notice), 2, 0.6)
+        got = [(first, last + 1, round(share * len(notice))) for _, first, last, share in spans]
+        assert sum(c for _, _, c in got) == most and set(got) <= set(good) and all(a[1] <= b[0] for a, b in itertools.pairwise(got))
+        found += len(got)
+    assert found > 100
+
+
+def test_a_notice_with_its_first_words_repeated_within():
+    words = dict(licenses.NOTICES)["bsd"].split()
+    scanner = licenses.LicenceScanner(licenses.PHRASES, licenses.NOTICES)
+    spans = scanner.scan([*words[:10], *words[:3], *words[10:]])[1]
+    assert spans == [("bsd", 0, len(words) + 2, 1.0)]
+    copies = scanner.scan(words * 300)[1]
+    assert len(copies) == 300 and all(s[3] == 1.0 for s in copies)
+
+
+def test_short_phrases_and_other_settings(spark):
+    df = spark.createDataFrame([(1, "Free as in GPL, or gpl v3; MIT")], "doc_id long, text string")
+    got = licenses.scan(df, phrases=(("gpl", "gpl"), ("gpl-3", "gpl v3"), ("mit", "mit"))).head()
+    assert [(p["label"], p["first_word"]) for p in got["places"]] == [("gpl", 3), ("gpl", 5), ("gpl-3", 5), ("mit", 7)] and got["spans"] == []
+    few = licenses.scan(df, phrases=(), notices=(("n", "free as in beer or gpl"),), least_match=1, coverage=0.8).head()["spans"]
+    assert [(s["first_word"], s["last_word"], round(s["coverage"], 3)) for s in few] == [(0, 5, 0.833)]

@@ -1,11 +1,14 @@
 """Approximate nearest neighbours by learned partitions.
 
 On a bounded sample of vectors the exact neighbour graph is built and cut into balanced parts; a
-small classifier then learns, from a vector, in which parts its neighbours lie. Every row is stored
-in its most probable part; a query goes to its several most probable parts, where the inner products
+small classifier then learns, from a vector, in which parts its neighbours lie. Parts grow in number
+with the rows: where one classifier would need more than FAN parts, each of its parts is cut again
+in the same way, on a bounded sample of its own rows, by tasks of their own. Every row is stored in
+its most probable part; a query goes to its several most probable parts, where the inner products
 are taken exactly, in double precision and always in the same order of components. How many parts a
-query visits is set on held-out vectors of the sample so that their recall reaches a target. Parts
-and the queries sent to them are dealt in blocks of bounded size, so a crowded part is many tasks.
+query visits is set on held-out vectors of the sample so that their recall reaches a target: few
+where vectors cluster, nearly all where they have no structure to learn. Parts and the queries sent
+to them are dealt in blocks of bounded size, so a crowded part is many tasks.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardsort.llm.common import bounded_batches, durable
@@ -25,12 +28,13 @@ from shardsort.llm.common import bounded_batches, durable
 SAMPLE_ROWS = 4000
 #: Neighbours of a sampled vector in the graph, and the number that recall is measured on.
 GRAPH_NEIGHBOURS, RECALL_AT = 12, 20
-#: Parts: one for so many rows, within these bounds.
-ROWS_PER_PART, LEAST_PARTS, MOST_PARTS = 50_000, 16, 128
+#: Rows of one part; the fewest parts; the most parts of one classifier. Two levels of classifiers
+#: make FAN * FAN parts, 819 million rows at this size; beyond that parts grow longer.
+ROWS_PER_PART, LEAST_PARTS, FAN = 50_000, 16, 128
 #: Mean recall that held-out sample vectors must reach with the parts visited.
 TARGET_RECALL = 0.96
 #: Rows and queries of one block.
-BLOCK_ROWS, BLOCK_QUERIES = 8192, 1024
+BLOCK_ROWS, BLOCK_QUERIES = 8192, 4096
 #: Hidden units of the classifier.
 HIDDEN = 64
 
@@ -161,29 +165,99 @@ def train_router(vectors: np.ndarray, aims: np.ndarray, epochs: int = 60, seed:
     return Router(*p)
 
 
-def fit(sample: np.ndarray, parts: int) -> tuple[Router, int]:
-    """The router, and how many parts a query visits for the target recall on held-out vectors."""
+def _learned(sample: np.ndarray, parts: int) -> Router:
+    """Graph, parts and classifier of a sample; a single part for a sample too small to cut."""
     parts = max(1, min(parts, len(sample) // 8))
     if parts < 2:
-        dims = sample.shape[1]
-        return Router(np.zeros((dims, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)), 1
-    tests = np.arange(len(sample)) % 5 == 4
-    learned = sample[~tests]
-    graph = neighbour_graph(learned, GRAPH_NEIGHBOURS)
+        return Router(np.zeros((sample.shape[1], 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1))
+    graph = neighbour_graph(sample, GRAPH_NEIGHBOURS)
     label = balanced_parts(graph, parts)
-    votes = np.zeros((len(learned), parts))
-    np.add.at(votes, (np.repeat(np.arange(len(learned)), graph.shape[1]), label[graph].ravel()), 1 / graph.shape[1])
-    votes[np.arange(len(learned)), label] += 1
-    router = train_router(learned, votes / votes.sum(axis=1, keepdims=True))
-    order = router.order(sample)
-    home = order[:, 0]
+    votes = np.zeros((len(sample), parts))
+    np.add.at(votes, (np.repeat(np.arange(len(sample)), graph.shape[1]), label[graph].ravel()), 1 / graph.shape[1])
+    votes[np.arange(len(sample)), label] += 1
+    return train_router(sample, votes / votes.sum(axis=1, keepdims=True))
+
+
+@dataclass
+class Routing:
+    """One classifier, or one and a second for each of its parts; the parts at the bottom are numbered through."""
+
+    first: Router
+    second: list[Router] | None = None
+
+    def __post_init__(self) -> None:
+        widths = [len(r.out_bias) for r in self.second] if self.second else [1] * len(self.first.out_bias)
+        self.begins = np.concatenate([[0], np.cumsum(widths)])
+        self.parts = int(self.begins[-1])
+
+    def home(self, vectors: np.ndarray) -> np.ndarray:
+        """The part that each row is stored in."""
+        top = self.first.logits(vectors).argmax(axis=1)
+        if not self.second:
+            return top
+        out = np.zeros(len(vectors), np.int64)
+        for k in np.unique(top):
+            at = np.flatnonzero(top == k)
+            out[at] = self.begins[k] + self.second[k].logits(vectors[at]).argmax(axis=1)
+        return out
+
+    def order(self, vectors: np.ndarray) -> np.ndarray:
+        """All parts by probability, most probable first."""
+        chance = _log_softmax(self.first.logits(vectors))
+        if self.second:
+            chance = np.concatenate([chance[:, k, None] + _log_softmax(r.logits(vectors)) for k, r in enumerate(self.second)], axis=1)
+        return np.argsort(-chance, axis=1, kind="stable")
+
+
+def _log_softmax(z: np.ndarray) -> np.ndarray:
+    z = z - z.max(axis=1, keepdims=True)
+    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
+
+def is_held_out(n: int) -> np.ndarray:
+    """Vectors of a sample of n that nothing is learned from: every fifth."""
+    return np.arange(n) % 5 == 4
+
+
+def visits_for(routing: Routing, sample: np.ndarray, target: float = TARGET_RECALL) -> int:
+    """How many parts a query visits for the target recall of held-out vectors among the sample."""
+    tests = is_held_out(len(sample))
+    if routing.parts < 2 or not tests.any():
+        return routing.parts
+    home, order = routing.home(sample), routing.order(sample[tests])
     score = sample[tests] @ sample.T
     score[np.arange(len(score)), np.flatnonzero(tests)] = -np.inf
     near = np.argsort(-score, axis=1)[:, : min(RECALL_AT, len(sample) - 1)]
-    place = np.argsort(order[tests], axis=1)
-    visit = np.take_along_axis(place, home[near], axis=1)
-    recall = [(visit < t).mean() for t in range(1, parts + 1)]
-    return router, 1 + int(np.argmax(np.array(recall) >= TARGET_RECALL))
+    visit = np.take_along_axis(np.argsort(order, axis=1), home[near], axis=1)
+    recall = np.array([(visit < t).mean() for t in range(1, routing.parts + 1)])
+    return 1 + int(np.argmax(recall >= target))
+
+
+def _cut_again(valid: DataFrame, first: Router, parts: int, dims: int, sample_rows: int) -> list[Router]:
+    """A second classifier for each part of the first, on at most ``sample_rows`` of the part's rows."""
+
+    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                ids, vectors = _packed(batch)
+                top = pa.array(first.logits(vectors).argmax(axis=1), pa.int32())
+                yield pa.RecordBatch.from_arrays([ids, pa.array([v.tobytes() for v in vectors], pa.binary()), top], names=["vec_id", "vector", "part"])
+
+    def learn(table: pa.Table) -> pa.Table:
+        vectors = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float64).reshape(-1, dims)
+        router = _learned(vectors, parts)
+        out = {"part": table.column("part").slice(0, 1), "width": [len(router.out_bias)]}
+        return pa.table(out | {name: [getattr(router, name).astype(np.float64).tobytes()] for name in ("into", "into_bias", "out", "out_bias")})
+
+    placed = valid.mapInArrow(place, "vec_id long, vector binary, part int")
+    drawn = Window.partitionBy("part").orderBy(F.xxhash64("vec_id"), "vec_id", "vector")
+    sampled = placed.withColumn("at", F.row_number().over(drawn)).filter(F.col("at") <= sample_rows).drop("at")
+    schema = "part int, width long, into binary, into_bias binary, out binary, out_bias binary"
+    second = [Router(np.zeros((dims, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)) for _ in first.out_bias]
+    for r in sampled.groupBy("part").applyInArrow(learn, schema).collect():
+        into, into_bias, out, out_bias = (np.frombuffer(r[name], np.float64) for name in ("into", "into_bias", "out", "out_bias"))
+        second[r["part"]] = Router(into.reshape(dims, -1), into_bias, out.reshape(-1, r["width"]), out_bias)
+    return second
 
 
 def _valid(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -199,6 +273,64 @@ def _packed(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
     return batch.column(batch.schema.get_field_index("vec_id")), lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
 
 
+@dataclass
+class Index:
+    """All rows with their parts, and the queries with the parts that each visits (``routes``).
+
+    These are the ``visits`` most probable parts that hold rows, and further ones until they hold
+    more than k rows.
+    """
+
+    placed: DataFrame
+    queries: DataFrame
+    routing: Routing
+    visits: int
+    dims: int
+
+
+def index(df: DataFrame, vec_id: str, vector: str, every: int, k: int, sample_rows: int = SAMPLE_ROWS) -> Index | None:
+    """Fit the parts on bounded samples and place every row; none without vectors."""
+    valid = _valid(df, vec_id, vector)
+    drawn = valid.orderBy(F.xxhash64("vec_id"), "vec_id", "vector").limit(sample_rows).collect()
+    if not drawn:
+        return None
+    dims = int(np.bincount([len(r["vector"]) for r in drawn]).argmax())
+    valid = valid.filter(F.size("vector") == dims)
+    sample = np.array([r["vector"] for r in drawn if len(r["vector"]) == dims], np.float64)
+    wanted = max(LEAST_PARTS, -(-valid.count() // ROWS_PER_PART))
+    first = _learned(sample[~is_held_out(len(sample))], min(wanted, FAN))
+    routing = Routing(first, _cut_again(valid, first, min(FAN, -(-wanted // FAN)), dims, sample_rows) if wanted > FAN else None)
+    visits = visits_for(routing, sample)
+    sent = df.sparkSession.sparkContext.broadcast(routing)
+
+    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                ids, vectors = _packed(batch)
+                packed = pa.array([v.tobytes() for v in vectors], pa.binary())
+                yield pa.RecordBatch.from_arrays([ids, packed, pa.array(sent.value.home(vectors), pa.int32())], names=["vec_id", "vector", "part"])
+
+    placed = durable(valid.mapInArrow(place, "vec_id long, vector binary, part int"))
+    held = np.zeros(routing.parts, np.int64)
+    for r in placed.groupBy("part").count().collect():
+        held[r["part"]] = r["count"]
+
+    def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            vectors = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float64).reshape(-1, dims)
+            routes = []
+            for order in sent.value.order(vectors):
+                order = order[held[order] > 0]
+                enough = int(np.searchsorted(np.cumsum(held[order]), k, "right")) + 1  # parts that hold more than k rows
+                routes.append(order[: max(visits, enough)].tolist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(routes, pa.list_(pa.int32()))], names=["vec_id", "vector", "routes"])
+
+    queries = placed.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "vector"]).select("vec_id", "vector")
+    return Index(placed, durable(queries.mapInArrow(route, "vec_id long, vector binary, routes array<int>")), routing, visits, dims)
+
+
 def search(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Each query's k nearest found: query_id, rank (from 1), vec_id, score.
 
@@ -212,53 +344,18 @@ def search(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", eve
     spark = df.sparkSession
     bounded_batches(spark)
     schema = "query_id long, rank int, vec_id long, score double"
-    valid = _valid(df, vec_id, vector)
-    drawn = valid.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).collect()
-    if not drawn:
+    built = index(df, vec_id, vector, every, k, sample_rows)
+    if built is None:
         return spark.createDataFrame([], schema)
-    lengths = np.bincount([len(r["vector"]) for r in drawn])
-    dims = int(lengths.argmax())
-    valid = valid.filter(F.size("vector") == dims)
-    sample = np.array([r["vector"] for r in drawn if len(r["vector"]) == dims], np.float64)
-    total = valid.count()
-    router, visits = fit(sample, int(np.clip(total // ROWS_PER_PART, LEAST_PARTS, MOST_PARTS)))
-
-    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            ids, vectors = _packed(batch)
-            order = router.order(vectors).astype(np.int32)
-            asked = ids.to_numpy(zero_copy_only=False) % every == 0
-            routes = [o.tolist() if a else None for o, a in zip(order, asked, strict=True)]
-            packed = pa.array([v.tobytes() for v in vectors], pa.binary())
-            yield pa.RecordBatch.from_arrays([ids, packed, pa.array(order[:, 0], pa.int32()), pa.array(routes, pa.list_(pa.int32()))], names=["vec_id", "vector", "part", "routes"])
-
-    placed = durable(valid.mapInArrow(place, "vec_id long, vector binary, part int, routes array<int>"))
-    parts = len(router.out_bias)
-    held = np.zeros(parts, np.int64)
-    for r in placed.groupBy("part").count().collect():
-        held[r["part"]] = r["count"]
-    while visits < parts and np.sort(held)[:visits].sum() <= k:
-        visits += 1
-    queries = placed.filter("routes is not null").dropDuplicates(["vec_id", "vector"]).select("vec_id", "vector", F.explode(F.slice("routes", 1, visits)).alias("part"))
-    queries = durable(queries)
-    asked = np.zeros(parts, np.int64)
-    for r in queries.groupBy("part").count().collect():
-        asked[r["part"]] = r["count"]
-    blocks, chunks = np.maximum(1, -(-held // BLOCK_ROWS)), np.maximum(1, -(-asked // BLOCK_QUERIES))
-
-    def of_part(numbers: np.ndarray) -> Column:
-        return F.element_at(F.array(*(F.lit(int(x)) for x in numbers)), F.col("part") + 1)
-
-    def dealt(numbers: np.ndarray) -> Column:
-        return F.pmod(F.xxhash64("vec_id", "vector"), of_part(numbers)).cast("int")
-
-    def everywhere(numbers: np.ndarray) -> Column:
-        return F.explode(F.sequence(F.lit(0), of_part(numbers) - 1))
-
-    left = placed.select("vec_id", "vector", "part", dealt(blocks).alias("block"), everywhere(chunks).alias("chunk"))
-    right = queries.select("vec_id", "vector", "part", everywhere(blocks).alias("block"), dealt(chunks).alias("chunk"))
+    placed, dims = built.placed, built.dims
+    queries = built.queries.select("vec_id", "vector", F.explode("routes").alias("part"))
+    held = placed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    asked = queries.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("chunks"))
+    dealt = F.broadcast(durable(held.join(asked, "part")))  # a row for each part at most
+    number, every_block = F.xxhash64("vec_id", "vector"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    every_chunk = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    left = placed.join(dealt, "part").select("vec_id", "vector", "part", F.pmod(number, "blocks").cast("int").alias("block"), every_chunk.alias("chunk"))
+    right = queries.join(dealt, "part").select("vec_id", "vector", "part", every_block.alias("block"), F.pmod(number, "chunks").cast("int").alias("chunk"))
 
     def rank(rows: pa.Table, asked: pa.Table) -> pa.Table:
         def read(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:

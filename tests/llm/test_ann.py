@@ -84,5 +84,38 @@ def test_parts_are_balanced_and_follow_the_graph():
     label = ann.balanced_parts(graph, 8)
     assert np.bincount(label, minlength=8).max() <= 111
     assert (label[graph] == label[:, None]).mean() > 0.8
-    router, visits = ann.fit(vectors, 8)
-    assert visits <= 3
+    routing = ann.Routing(ann._learned(vectors[~ann.is_held_out(800)], 8))
+    assert ann.visits_for(routing, vectors) <= 3
+
+
+def clustered(n, clusters=60, dims=24, seed=7):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(clusters, dims))
+    vectors = centres[rng.integers(0, clusters, n)] + rng.normal(size=(n, dims)) * 0.15
+    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("levels", [1, 2])
+def test_queries_visit_few_rows_where_vectors_cluster(spark, monkeypatch, levels):
+    """Recall against all pairs of at least 0.9, and no query scores over a third of the rows."""
+    if levels == 2:
+        monkeypatch.setattr(ann, "FAN", 5)
+        monkeypatch.setattr(ann, "ROWS_PER_PART", 200)
+    vectors = clustered(4000)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    built = ann.index(df, "vec_id", "embedding", 20, 20, 1500)
+    assert built.routing.parts == (16 if levels == 1 else 20) and bool(built.routing.second) == (levels == 2)
+    held = {r["part"]: r["count"] for r in built.placed.groupBy("part").count().collect()}
+    scored = [sum(held[p] for p in r["routes"]) for r in built.queries.collect()]
+    assert len(scored) == 200 and max(scored) <= 4000 / 3
+    got = answers(ann.search(df, sample_rows=1500))
+    score = vectors[::20] @ vectors.T
+    score[np.arange(200), np.arange(0, 4000, 20)] = -np.inf
+    near = np.argsort(-score, axis=1)[:, :20]
+    assert np.mean([len({i for _, i, _ in got[20 * q]} & set(n.tolist())) / 20 for q, n in enumerate(near)]) >= 0.9
+
+
+def test_all_candidates_where_there_are_few(spark):
+    df = spark.createDataFrame([(k, [float(k % 7 + 1), 1.0]) for k in range(21)], "vec_id long, embedding array<double>")
+    got = answers(ann.search(df))
+    assert {q: len(a) for q, a in got.items()} == {0: 20, 20: 20}

@@ -62,7 +62,10 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
 
 
 def events_of(turns: DataFrame) -> DataFrame:
-    """The log of a table of finished turns: one message event for each row."""
+    """The log of a table of finished turns: one message event for each row, repeated rows included.
+
+    Nulls stay as they are (see `format_chats`); other columns are not read.
+    """
     return turns.select("conv_id", F.col("turn").alias("seq"), "turn", F.lit(MESSAGE).alias("kind"), "role", "text")
 
 
@@ -161,7 +164,10 @@ _DIGEST_TYPES = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), p
 def chat_digests(segments: DataFrame) -> DataFrame:
     """Per conversation, read back from the segments: turns, loss text and length, with digests.
 
-    It runs in the partitions of `format_chats`, whose order it relies on and checks.
+    It runs in the partitions of `format_chats`, whose order it relies on and checks. A null conv_id
+    is one conversation; texts of any length are read back turn by turn; conversations without
+    assistant turns have no loss text (0 characters and the digest of nothing); no segments give no
+    rows.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -56,6 +56,12 @@ def byte_offset(index: Column | str) -> Column:
     return _col(index).cast("long") * RECORD_LEN
 
 
-def random_record_offset(records: Column | str, seed: int) -> Column:
-    """A uniformly drawn, record-aligned byte offset within so many records."""
-    return F.floor(F.rand(seed) * _col(records)).cast("long") * RECORD_LEN
+def draw_index(rows: Column | str, seed: int, *parts: Column | str) -> Column:
+    """A record number below `rows`, drawn from a digest of the seed and the parts, so it repeats anywhere."""
+    named = F.concat_ws("|", F.lit(str(seed)), *(_col(p).cast("string") for p in parts))
+    return F.pmod(F.conv(F.substring(F.md5(named.cast("binary")), 1, 15), 16, 10).cast("long"), _col(rows)).cast("long")
+
+
+def random_record_offset(records: Column | str, seed: int, *parts: Column | str) -> Column:
+    """The record-aligned byte offset of such a draw."""
+    return byte_offset(draw_index(records, seed, *parts))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardsort.functions.records import RECORD_LEN
@@ -44,13 +44,13 @@ def partition_by_pivots(df: DataFrame, key: str, pivots: Sequence, *ties: str) -
 def partition_offsets(df: DataFrame, key: str, pivots: Sequence, record_len: int = RECORD_LEN) -> DataFrame:
     """(pivot_no, byte_offset): where each pivot's partition begins in the sorted file.
 
-    One pass: rows are counted by partition and the counts, one for each, summed up.
+    One pass: rows are counted by partition, and the counts (one for each) summed from the front.
     """
     spark = df.sparkSession
     cuts = spark.range(1, len(pivots) + 1).select(F.col("id").alias("pivot_no"))
-    counts = assign(df, key, pivots).groupBy("pid").agg(F.count("*").alias("rows"))
-    below = cuts.join(F.broadcast(counts), F.col("pid") < F.col("pivot_no"), "left")
-    return below.groupBy("pivot_no").agg((F.coalesce(F.sum("rows"), F.lit(0)) * record_len).cast("long").alias("byte_offset"))
+    counts = assign(df, key, pivots).groupBy("pid").agg(F.count("*").alias("rows")).select((F.col("pid") + 1).alias("pivot_no"), "rows")
+    before = Window.orderBy("pivot_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return cuts.join(counts, "pivot_no", "left").select("pivot_no", (F.coalesce(F.sum("rows").over(before), F.lit(0)) * record_len).cast("long").alias("byte_offset"))
 
 
 def partition_sizes(df: DataFrame, key: str, pivots: Sequence, record_len: int = RECORD_LEN) -> DataFrame:

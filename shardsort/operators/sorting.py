@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardsort.functions.durable import durable
+from shardsort.operators.joins import dealt_join
 
 #: Rows of one sorted run: fixed value.
 RUN_ROWS = 100_000
@@ -42,12 +43,12 @@ def group_position(df: DataFrame, group: Sequence[str], order: Sequence[str], na
 
     Positions in the order of group, then ``order``, less the group's first one.
     """
-    at = f"__{name}_at"
-    placed = global_position(df, [*group, *[c for c in order if c not in group]], at, base=0)
-    firsts = durable(placed.groupBy(*group).agg(F.min(at).alias("__first")).select(*(F.col(g).alias(f"__of_{g}") for g in group), "__first"))
-    same = reduce(lambda a, b: a & b, (F.col(g).eqNullSafe(F.col(f"__of_{g}")) for g in group))
-    numbered = placed.join(firsts, same).withColumn(name, (F.col(at) - F.col("__first") + base).cast("long"))
-    return numbered.drop(at, "__first", *(f"__of_{g}" for g in group))
+    at, whole = f"__{name}_at", f"__{name}_group"
+    key = F.concat_ws("|", *(F.coalesce(F.concat(F.lit("="), F.base64(F.encode(F.col(g).cast("string"), "UTF-8"))), F.lit("-")) for g in group))
+    placed = global_position(df, [*group, *[c for c in order if c not in group]], at, base=0).withColumn(whole, key)
+    firsts = placed.groupBy(whole).agg(F.min(at).alias("__first"), F.count("*").alias("__rows"))
+    numbered = dealt_join(placed, firsts, whole, "__rows").withColumn(name, (F.col(at) - F.col("__first") + base).cast("long"))
+    return numbered.drop(at, whole, "__first", "__rows")
 
 
 def chunk_assign(df: DataFrame, order: Sequence[str | Column], rows: int = RUN_ROWS, name: str = "chunk") -> DataFrame:

@@ -11,8 +11,8 @@ def test_query_equals_sql(spark, small, name):
     check(spark, name, small, catalog.queries(), catalog.oracle_sql())
 
 
-def test_only_the_random_draw_has_no_sql():
-    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"sample_keys"}
+def test_every_query_has_sql():
+    assert set(catalog.queries()) == set(catalog.oracle_sql())
 
 
 def test_sample_keys_repeat_and_follow_the_budget(spark, small):

@@ -12,7 +12,7 @@ from shardsort import cli
 from shardsort.functions import records
 from shardsort.operators import exchange, partitioning, pivots, sampling, sinks, sorting, validate
 from shardsort.plans import job
-from shardsort.sources import binary, text
+from shardsort.sources import binary, seek, text
 
 
 def line_frame(spark, lines):
@@ -178,7 +178,7 @@ def test_binary_records_are_lossless(spark, tmp_path, split):
     assert [bytes(r["key"]) + bytes(r["value"]) for r in parts.collect()] == sorted(data)
     source = recs.select("source").head()[0]
     wanted = spark.createDataFrame([(source, 3), (source, 3), (source, 199)], "source string, index long")
-    assert sorted(bytes(r["value"]) for r in binary.records_at(recs, wanted).collect()) == sorted(data[i][10:] for i in (3, 3, 199))
+    assert sorted(bytes(r["value"]) for r in binary.records_at(wanted).collect()) == sorted(data[i][10:] for i in (3, 3, 199))
 
 
 def test_torn_binary_files(spark, tmp_path):
@@ -221,3 +221,137 @@ def test_files_that_spark_passes_over_are_sorted_too(spark, tmp_path):
     assert sorted(bytes(r["b"]) for r in lines) == sorted([b"plain", b"under", b"score", b"\xff", b"", b"last", b"dot"])
     done = job(spark, [str(tmp_path / "in")], str(tmp_path / "out"), 2)
     assert (done.files, done.input_bytes, done.rows) == (4, 30, 7)
+
+
+RECORDS = [bytes(random.Random(k).choices((0, 9, 10, 13, 32, 127, 128, 255, k % 256), k=100)) for k in range(1000)]
+
+
+@pytest.mark.parametrize("partitions,how", [(1, "weighted"), (4, "weighted"), (7, "equal")])
+def test_binary_records_are_sorted_end_to_end(spark, tmp_path, partitions, how):
+    """The fixture binary_100: an identical multiset in unsigned order, and no byte more."""
+    for name, rows in (("a", RECORDS[:700]), ("b", RECORDS[700:]), ("c", [])):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "r.bin").write_bytes(b"".join(rows))
+    ins, out = [str(tmp_path / d) for d in "abc"], tmp_path / "out"
+    for _ in range(2):  # a rerun replaces
+        done = job.sort_records(spark, ins, str(out), partitions, sampling=how)
+        data = b"".join(f.read_bytes() for f in files_of(out))
+        got = [data[at : at + 100] for at in range(0, len(data), 100)]
+        assert got == sorted(RECORDS) and (done.rows, done.bytes, done.partitions) == (1000, 100_000, partitions)
+        assert len(list(out.iterdir())) == len(done.sizes) <= partitions and sum(done.sizes.values()) == 100_000
+    assert job.sort_records(spark, [str(tmp_path / "none")], str(out), 2, missing="skip").rows == 0
+
+
+def test_binary_sink_refuses_other_widths(spark, tmp_path):
+    good = spark.createDataFrame([(b"k" * 10, b"v" * 90)], "key binary, value binary").coalesce(1)
+    binary.write_records(good, str(tmp_path / "o"))
+    for bad in ([(b"k" * 10, b"v" * 89)], [(b"k" * 10, None)]):
+        with pytest.raises(Exception, match="100 bytes"):
+            binary.write_records(spark.createDataFrame(bad, "key binary, value binary"), str(tmp_path / "o"))
+    assert [f.name for f in (tmp_path / "o").iterdir()] == ["part-00000"] and (tmp_path / "o" / "part-00000").read_bytes() == b"k" * 10 + b"v" * 90
+    binary.write_records(good.limit(0), str(tmp_path / "o"))
+    assert not list((tmp_path / "o").iterdir())
+
+
+def test_records_outside_a_file(spark, tmp_path):
+    (tmp_path / "r").write_bytes(b"x" * 300)
+    for index in (3, -1):
+        with pytest.raises(Exception, match="no record"):
+            binary.records_at(spark.createDataFrame([(str(tmp_path / "r"), index)], "source string, index long")).collect()
+
+
+def test_only_drawn_places_are_read(spark, tmp_path, monkeypatch):
+    """Text keys by seeking: each is the key of a whole line, and all lines can come."""
+    lines = [b"%05d-%s" % (k, b"x" * (k % 90)) for k in range(400)] + [b"", b"\xc3\xa9\xc3\xa9", b"last without an end"]
+    (tmp_path / "t").write_bytes(b"\r\n".join(lines))
+    files = [(str(tmp_path / "t"), (tmp_path / "t").stat().st_size)]
+    keys = {line.decode()[:10].ljust(10) for line in lines}
+    for window in (4096, 7):
+        monkeypatch.setattr(seek, "WINDOW", window)
+        got = [r["key"] for r in seek.read_keys(spark, files, seek.weighted_counts([files[0][1]], 6000, 1), 1, False).collect()]
+        assert len(got) == 6000 and set(got) <= keys and len(set(got)) > 0.9 * len(keys)
+    again = [r["key"] for r in seek.read_keys(spark, files, seek.weighted_counts([files[0][1]], 6000, 1), 1, False).collect()]
+    assert sorted(got) == sorted(again)
+
+
+def test_the_budget_grows_with_the_ranges(spark, tmp_path):
+    assert job.budget_for(2) == sampling.SAMPLE_BYTES and job.budget_for(1000) == 100 * 1000 * 100
+    assert seek.equal_counts([99, 1000, 10**6], 30_000).tolist() == [0, 10, 100] and seek.equal_counts([10**6] * 3, 200).tolist() == [0, 0, 0]
+    (tmp_path / "r").write_bytes(b"".join(b"%010d" % (k * 7919 % 200_003) + b"v" * 90 for k in range(40_000)))
+    cuts = job.seek_pivots(spark, [(str(tmp_path / "r"), 4_000_000)], 1000, True)
+    assert len(set(cuts)) == 999 and cuts == sorted(cuts)
+    assert job.seek_pivots(spark, [], 4, True) == [] and job.seek_pivots(spark, [(str(tmp_path / "r"), 0)], 4, False) == []
+
+
+def test_compressed_lines_are_sampled_by_a_scan(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.gz").write_bytes(gzip.compress(b"".join(b"%04d\n" % (k * 37 % 500) for k in range(500))))
+    assert not seek.seekable([str(tmp_path / "in" / "x.gz")])
+    for how in ("weighted", "equal"):
+        done = job.sort_lines(spark, [str(tmp_path / "in")], str(tmp_path / "out"), 4, sampling=how)
+        assert done.rows == 500 and len(done.sizes) == 4
+
+
+def test_lost_rows_raise(spark, inputs, monkeypatch):
+    base, _ = inputs
+    real = job.write_partitions
+    monkeypatch.setattr(job, "write_partitions", lambda lines, *rest: real(lines.filter("line > 'M'"), *rest))
+    with pytest.raises(RuntimeError, match="were read"):
+        job.sort_lines(spark, [str(base / "one")], str(base / "out"), 2)
+
+
+def test_wide_characters_are_counted_too(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x").write_text("é\nü\n😀 and more\n")
+    done = job.sort_lines(spark, [str(tmp_path / "in")], str(tmp_path / "out"), 2)
+    assert done.rows == 3 and done.bytes == 300 + 1 + 1 + 3
+
+
+def test_binary_text_lines_without_a_change(spark, tmp_path):
+    df = spark.createDataFrame([(b"b\xff",), (b"a\x80",)], "line binary").withColumn("key", records.byte_key("line"))
+    sinks.write_partitions(df, str(tmp_path / "o"), [b"b"], mode="lossless")
+    assert [f.read_bytes() for f in files_of(tmp_path / "o")] == [b"a\x80\n", b"b\xff\n"]
+
+
+def test_command_line_for_records(spark, tmp_path, capsys):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "r").write_bytes(b"".join(RECORDS))
+    args = ["-I", str(tmp_path / "in"), "-O", str(tmp_path / "out"), "--partitions", "3", "--binary", "--sampling", "equal", "--seed", "5", "--budget", "50000"]
+    assert cli.main(args) == 0
+    said = capsys.readouterr().out
+    assert "wrote 1000 rows, 100000 bytes, 3 ranges" in said and said.count("range ") == 3
+    with pytest.raises(SystemExit):
+        cli.main(["-I", "x", "-O", "y", "--budget", "0"])
+
+
+def test_hot_groups_are_dealt(spark, monkeypatch):
+    from shardsort.operators import joins
+
+    monkeypatch.setattr(joins.dealt_join, "__defaults__", ("inner", 3))
+    df = spark.createDataFrame([(g, v) for g in (None, "a", "b") for v in range(40)], "g string, v long").repartition(3)
+    got = sorted(((r["g"] or "", r["v"], r["pos"]) for r in sorting.group_position(df, ["g"], ["v"]).collect()))
+    assert got == [(g, v, v + 1) for g in ("", "a", "b") for v in range(40)]
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 100])
+def test_salted_joins(spark, broadcast_rows):
+    from shardsort.operators.joins import salted_join
+
+    many = spark.createDataFrame([(k % 3 if k % 5 else None, k) for k in range(60)], "k long, salt long")
+    few = spark.createDataFrame([(0, "zero"), (1, "one"), (9, "nine")], "k long, name string")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        want = sorted(map(str, many.join(few, ["k"], how).collect()))
+        assert sorted(map(str, salted_join(many, few, ["k"], how, broadcast_rows, 4).collect())) == want
+
+
+def test_the_shared_folder_is_needed_on_a_cluster():
+    from types import SimpleNamespace
+
+    from shardsort.functions.durable import shared_folder
+
+    held = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: held)))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context))

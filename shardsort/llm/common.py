@@ -6,10 +6,7 @@ intermediate cut goes to the folder the cluster names in ``spark.checkpoint.dir`
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +15,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shardsort.functions.durable import durable, written
+from shardsort.functions.workers import ship_package
+from shardsort.operators.joins import dealt_join, fresh, salted_join
 
 #: Arrow batches handed to Python hold at most this many rows and bytes.
 BATCH_ROWS = 1024
 BATCH_BYTES = 16 << 20
-#: More rows than these of one key are dealt over several tasks of a join.
-HOT_ROWS = 10_000
+
+__all__ = [
+    "BATCH_BYTES", "BATCH_ROWS", "KeyFilter", "arrow_rows", "bounded_batches", "dealt_join", "durable", "fresh", "lower_ascii", "salted_join", "table", "table_of_at_most", "widened", "written",
+]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,27 +32,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_shipped: set[str] = set()
-
-
-def _ship_package(spark: SparkSession) -> None:
-    """Send this package to the workers, once for an application, so they need no installed copy."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    top = Path(__file__).resolve().parent.parent
-    archive = Path(tempfile.mkdtemp(prefix="shardsort-")) / f"{top.name}.zip"
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
-        for source in sorted(top.rglob("*.py")):
-            out.write(source, source.relative_to(top.parent))
-    context.addPyFile(str(archive))
-    _shipped.add(context.applicationId)
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Prepare a session for Python workers: bounded Arrow batches, so that very long texts cannot
     fill a worker, and this package sent along."""
-    _ship_package(spark)
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
@@ -136,50 +120,6 @@ class KeyFilter:
         return cls(bits, words)
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name like the given one that df does not have."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = "_" + name
-    return name
-
-
-def salted_join(many: DataFrame, few: DataFrame, on: list[str], how: str, broadcast_rows: int, salts: int = 32) -> DataFrame:
-    """Join a table whose keys may be hot with one of a row for each key.
-
-    ``few`` is sent to every task if it is counted to be within ``broadcast_rows``; beyond that a
-    key's rows are dealt over ``salts`` tasks, and its row of ``few`` is repeated for each. ``how``
-    is inner, left, left_semi or left_anti; null keys match nothing.
-    """
-    counted = durable(few)
-    if counted.count() <= broadcast_rows:
-        return many.join(F.broadcast(counted), on, how)
-    salt = fresh(many, "salt")
-    dealt = many.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
-    repeated = counted.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(repeated, [*on, salt], how).drop(salt)
-
-
-def dealt_join(many: DataFrame, few: DataFrame, key: str, rows: str, how: str = "inner", hot: int = HOT_ROWS) -> DataFrame:
-    """Join on a key whose row of ``few`` says, in the column ``rows``, how many rows of ``many`` have it.
-
-    A key of more than ``hot`` rows is dealt over as many tasks as make up ``hot`` rows each; such
-    keys are few (all rows over ``hot``), so their list is sent to every task. ``how`` is inner or
-    left; null keys match nothing, and with left they are not shuffled.
-    """
-    parts, part = fresh(many, "parts"), fresh(many, "part")
-    few = durable(few)
-    number = F.ceil(F.col(rows) / hot).cast("int")
-    crowded = few.filter(F.col(rows) > hot).select(key, number.alias(parts))
-    dealt = many.filter(F.col(key).isNotNull()).join(F.broadcast(crowded), key, "left")
-    dealt = dealt.withColumn(part, F.pmod(F.monotonically_increasing_id(), F.coalesce(parts, F.lit(1))).cast("int")).drop(parts)
-    repeated = few.withColumn(part, F.explode(F.sequence(F.lit(0), F.greatest(number, F.lit(1)) - 1)))
-    joined = dealt.join(repeated, [key, part], how).drop(part)
-    if how == "inner":
-        return joined
-    return joined.unionByName(many.filter(F.col(key).isNull()), allowMissingColumns=True)
-
-
 def table_of_at_most(df: DataFrame, rows: int) -> DataFrame:
     """Hint that df be sent to every task, but only if it is counted to be within the bound."""
     counted = durable(df)

@@ -24,13 +24,15 @@ def salted_join(many: DataFrame, few: DataFrame, on: list[str], how: str, broadc
 
     ``few`` is sent to every task if it is counted to be within ``broadcast_rows``; beyond that a
     key's rows are dealt over ``salts`` tasks, and its row of ``few`` is repeated for each. ``how``
-    is inner, left, left_semi or left_anti; null keys match nothing.
+    is inner, left, left_semi or left_anti; null keys match nothing. Rows are dealt by a hash of
+    their other columns, so a task that runs again deals them alike.
     """
     counted = durable(few)
     if counted.count() <= broadcast_rows:
         return many.join(F.broadcast(counted), on, how)
     salt = fresh(many, "salt")
-    dealt = many.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    others = [f.name for f in many.schema.fields if f.name not in on and "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    dealt = many.withColumn(salt, F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in others)) if others else F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     repeated = counted.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return dealt.join(repeated, [*on, salt], how).drop(salt)
 
@@ -40,7 +42,8 @@ def dealt_join(many: DataFrame, few: DataFrame, key: str, rows: str, how: str =
 
     A key of more than ``hot`` rows is dealt over as many tasks as make up ``hot`` rows each; such
     keys are few (all rows over ``hot``), so their list is sent to every task. ``how`` is inner or
-    left; null keys match nothing, and with left they are not shuffled.
+    left; null keys match nothing, and with left they are not shuffled. ``many`` should be a scan or
+    a checkpoint: rows are dealt by their places in it, which have to be the same when a task runs again.
     """
     parts, part = fresh(many, "parts"), fresh(many, "part")
     few = durable(few)

@@ -324,7 +324,7 @@ def _classed(df: DataFrame, doc_id: str, text: str, n: int = WORDS, similarity:
     placed = placed.select("key", "node", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
     links = durable(_verified(placed.join(durable(held), "node"), similarity))
     linked = components(links.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    within = linked.join(nodes.select("node", "least"), "node")
+    within = durable(linked.join(nodes.select("node", "least"), "node"))
     of_root = within.groupBy("root").agg(F.min(F.struct("least", "node")).alias("first"), F.count("*").alias("members"))
     named = dealt_join(within.select("root", "node"), of_root, "root", "members").select("node", F.col("first.least").alias("class"), F.col("first.node").alias("stays"))
     counted = links.groupBy("node").agg(F.sum("n_links").alias("found"))

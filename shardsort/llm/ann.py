@@ -6,8 +6,9 @@ with the rows: where one classifier would need more than FAN parts, each of its
 in the same way, on a bounded sample of its own rows, by tasks of their own. Every row is stored in
 its most probable part; a query goes to its several most probable parts, where the inner products
 are taken exactly, in double precision and always in the same order of components. How many parts a
-query visits is set on held-out vectors of the sample so that their recall reaches a target: few
-where vectors cluster, nearly all where they have no structure to learn. Parts and the queries sent
+query visits is set on held-out vectors of the sample, whose true neighbours among all rows one pass
+finds, so that their recall reaches a target: few where vectors cluster, nearly all where they have
+no structure to learn. Parts and the queries sent
 to them are dealt in blocks of bounded size, so a crowded part is many tasks.
 """
 
@@ -31,8 +32,8 @@ GRAPH_NEIGHBOURS, RECALL_AT = 12, 20
 #: Rows of one part; the fewest parts; the most parts of one classifier. Two levels of classifiers
 #: make FAN * FAN parts, 819 million rows at this size; beyond that parts grow longer.
 ROWS_PER_PART, LEAST_PARTS, FAN = 50_000, 16, 128
-#: Mean recall that held-out sample vectors must reach with the parts visited.
-TARGET_RECALL = 0.96
+#: Mean recall that so many held-out vectors must reach with the parts visited, among their nearest of all rows.
+TARGET_RECALL, TEST_QUERIES = 0.96, 256
 #: Rows and queries of one block.
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 4096
 #: Hidden units of the classifier.
@@ -219,20 +220,45 @@ def is_held_out(n: int) -> np.ndarray:
     return np.arange(n) % 5 == 4
 
 
-def visits_for(routing: Routing, sample: np.ndarray, target: float = TARGET_RECALL) -> int:
-    """How many parts a query visits for the target recall of held-out vectors among the sample."""
-    tests = is_held_out(len(sample))
-    if routing.parts < 2 or not tests.any():
+def visits_for(routing: Routing, queries: np.ndarray, parts: np.ndarray, target: float = TARGET_RECALL) -> int:
+    """How many parts queries have to visit for the target recall, from the parts of each one's nearest rows (-1: none)."""
+    there = parts >= 0
+    if routing.parts < 2 or not there.any():
         return routing.parts
-    home, order = routing.home(sample), routing.order(sample[tests])
-    score = sample[tests] @ sample.T
-    score[np.arange(len(score)), np.flatnonzero(tests)] = -np.inf
-    near = np.argsort(-score, axis=1)[:, : min(RECALL_AT, len(sample) - 1)]
-    visit = np.take_along_axis(np.argsort(order, axis=1), home[near], axis=1)
-    recall = np.array([(visit < t).mean() for t in range(1, routing.parts + 1)])
+    visit = np.take_along_axis(np.argsort(routing.order(queries), axis=1), np.maximum(parts, 0), axis=1)
+    recall = np.array([(visit[there] < t).mean() for t in range(1, routing.parts + 1)])
     return 1 + int(np.argmax(recall >= target))
 
 
+def _parts_of_nearest(valid: DataFrame, routing: Routing, ids: np.ndarray, queries: np.ndarray, k: int) -> np.ndarray:
+    """For some held-out queries the parts of their k nearest of all rows, by brute force: one pass over the rows."""
+    sent = valid.sparkSession.sparkContext.broadcast((routing, ids, queries))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        routing, own, asked = sent.value
+        best, part = np.full((len(asked), 0), -np.inf), np.zeros((len(asked), 0), np.int64)
+        for batch in batches:
+            if not len(batch):
+                continue
+            row_ids, vectors = _packed(batch)
+            score = asked @ vectors.T
+            score[own[:, None] == row_ids.to_numpy(zero_copy_only=False)[None, :]] = -np.inf
+            best = np.concatenate([best, score], axis=1)
+            part = np.concatenate([part, np.broadcast_to(routing.home(vectors), score.shape)], axis=1)
+            if best.shape[1] > k:
+                at = np.argpartition(-best, k - 1, axis=1)[:, :k]
+                best, part = np.take_along_axis(best, at, axis=1), np.take_along_axis(part, at, axis=1)
+        query, at = np.nonzero(best > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(query, pa.int32()), pa.array(best[query, at]), pa.array(part[query, at], pa.int32())], names=["query", "score", "part"])
+
+    nearest = Window.partitionBy("query").orderBy(F.col("score").desc())
+    found = valid.mapInArrow(run, "query int, score double, part int").withColumn("at", F.row_number().over(nearest)).filter(F.col("at") <= k)
+    out = np.full((len(queries), k), -1, np.int64)
+    for r in found.collect():
+        out[r["query"], r["at"] - 1] = r["part"]
+    return out
+
+
 def _cut_again(valid: DataFrame, first: Router, parts: int, dims: int, sample_rows: int) -> list[Router]:
     """A second classifier for each part of the first, on at most ``sample_rows`` of the part's rows."""
 
@@ -296,11 +322,14 @@ def index(df: DataFrame, vec_id: str, vector: str, every: int, k: int, sample_ro
         return None
     dims = int(np.bincount([len(r["vector"]) for r in drawn]).argmax())
     valid = valid.filter(F.size("vector") == dims)
-    sample = np.array([r["vector"] for r in drawn if len(r["vector"]) == dims], np.float64)
+    drawn = [r for r in drawn if len(r["vector"]) == dims]
+    sample = np.array([r["vector"] for r in drawn], np.float64)
     wanted = max(LEAST_PARTS, -(-valid.count() // ROWS_PER_PART))
     first = _learned(sample[~is_held_out(len(sample))], min(wanted, FAN))
     routing = Routing(first, _cut_again(valid, first, min(FAN, -(-wanted // FAN)), dims, sample_rows) if wanted > FAN else None)
-    visits = visits_for(routing, sample)
+    tests = np.flatnonzero(is_held_out(len(sample)))[:TEST_QUERIES]
+    ids = np.array([r["vec_id"] for r in drawn], np.int64)[tests]
+    visits = visits_for(routing, sample[tests], _parts_of_nearest(valid, routing, ids, sample[tests], RECALL_AT))
     sent = df.sparkSession.sparkContext.broadcast(routing)
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

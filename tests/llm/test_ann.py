@@ -85,7 +85,21 @@ def test_parts_are_balanced_and_follow_the_graph():
     assert np.bincount(label, minlength=8).max() <= 111
     assert (label[graph] == label[:, None]).mean() > 0.8
     routing = ann.Routing(ann._learned(vectors[~ann.is_held_out(800)], 8))
-    assert ann.visits_for(routing, vectors) <= 3
+    score = vectors @ vectors.T
+    np.fill_diagonal(score, -np.inf)
+    parts = routing.home(vectors)[np.argsort(-score, axis=1)[:, :20]]
+    assert ann.visits_for(routing, vectors, parts) <= 3 and ann.visits_for(routing, vectors[:0], parts[:0]) == 8
+
+
+def test_the_parts_of_the_nearest_rows_are_brute_force(spark):
+    vectors = clustered(500)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, vector array<double>").repartition(3)
+    routing = ann.Routing(ann._learned(vectors, 6))
+    ids = np.array([3, 77, 499])
+    score = vectors[ids] @ vectors.T
+    score[np.arange(3), ids] = -np.inf
+    want = routing.home(vectors)[np.argsort(-score, axis=1)[:, :20]]
+    assert (ann._parts_of_nearest(df, routing, ids, vectors[ids], 20) == want).all()
 
 
 def clustered(n, clusters=60, dims=24, seed=7):

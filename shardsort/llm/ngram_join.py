@@ -4,7 +4,8 @@ Documents with the same set of n-grams are one node. The nodes' MinHash signatur
 bands whose number and height follow from the wanted recall, and nodes that share a band's hash meet
 in its bucket. Buckets with one member never travel beyond a count; of buckets with the same members
 one is worked on. Only the nodes of shared buckets have their n-gram sets fetched, once, and each
-pair is verified in the first bucket that it shares. A crowded bucket is dealt in pairs of blocks, a
+pair is verified in the first bucket that it shares; a set is sent only where its node has such a
+pair. A crowded bucket is dealt in pairs of blocks, a
 task each; tasks hand on a count of links and one edge for each node, never pairs.
 """
 
@@ -208,14 +209,13 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     return shared
 
 
-def links_within(key: int, across: bool, block: list[int], keys: list[list[int]], sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """Which pairs of a bucket's nodes are links to be counted here, as a matrix.
+def own_pairs(key: int, across: bool, block: list[int], keys: list[list[int]], size: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs of a bucket's nodes are to be intersected here, as a matrix.
 
     Here is where `key` is the smallest bucket that both are in and, in a task across two blocks,
     where they lie in different ones. Pairs that belong elsewhere, or whose sizes differ too much for the
     similarity, are not intersected.
     """
-    size = np.array([len(s) for s in sets], np.int64)
     wanted = np.minimum.outer(size, size) >= similarity * np.maximum.outer(size, size) - 1e-9
     np.fill_diagonal(wanted, False)
     if across:  # one of the blocks may be empty
@@ -229,6 +229,12 @@ def links_within(key: int, across: bool, block: list[int], keys: list[list[int]]
     for rows in earlier.values():
         if len(rows) > 1:
             wanted[np.ix_(rows, rows)] = False
+    return wanted
+
+
+def links_within(wanted: np.ndarray, sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which of the wanted pairs of sets are links, as a matrix."""
+    size = np.array([len(s) for s in sets], np.int64)
     one, two = np.nonzero(np.triu(wanted))
     linked = np.zeros_like(wanted)
     if len(one) <= FEW_PAIRS:
@@ -256,37 +262,60 @@ def _roots(linked: np.ndarray) -> np.ndarray:
     return root
 
 
-def _verified(dealt: DataFrame, similarity: float) -> DataFrame:
-    """(node, n_links, root) of the nodes with links in a task's bucket or pair of blocks."""
+_TASK = ("key", "one", "two")
 
-    def answer(group: tuple, rows: list[tuple]) -> list[tuple]:
-        keys, sets = [r[5] for r in rows], [np.frombuffer(r[6], np.uint64) for r in rows]
-        linked = links_within(group[0], group[1] != group[2], [r[3] for r in rows], keys, sets, similarity)
-        documents = np.array([r[7] for r in rows], np.int64)
-        counts, root = linked @ documents, _roots(linked)
-        return [(rows[k][4], int(counts[k]), rows[root[k]][4]) for k in np.flatnonzero(linked.any(axis=1))]
+
+def _by_task(dealt: DataFrame, columns: tuple[str, ...], schema: str, answer) -> DataFrame:
+    """What `answer` makes of the rows of each bucket, or pair of its blocks, if these are two or more."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, rows = None, []
         for batch in batches:
             out = []
-            for row in arrow_rows(batch, "key", "one", "two", "block", "node", "keys", "grams", "documents"):
+            for row in arrow_rows(batch, *_TASK, *columns):
                 if row[:3] != group:
                     if len(rows) > 1:
                         out.extend(answer(group, rows))
                     group, rows = row[:3], []
-                rows.append(row)
-            yield _links(out)
-        yield _links(answer(group, rows) if len(rows) > 1 else [])
+                rows.append(row[3:])
+            yield as_batch(out)
+        yield as_batch(answer(group, rows) if len(rows) > 1 else [])
+
+    names = [part.split()[0] for part in schema.split(", ")]
+    types = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[part.split()[1]] for part in schema.split(", ")]
+
+    def as_batch(rows: list[tuple]) -> pa.RecordBatch:
+        values = list(zip(*rows, strict=True)) or [[] for _ in names]
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names=names)
+
+    ordered = dealt.select(*_TASK, *columns).repartition(*_TASK).sortWithinPartitions(*_TASK)
+    return ordered.mapInArrow(run, schema)
 
-    columns = ("key", "one", "two", "block", "node", "keys", "grams", "documents")
-    ordered = dealt.select(*columns).repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
-    return ordered.mapInArrow(run, "node binary, n_links long, root binary")
 
+def _with_pairs(placed: DataFrame, similarity: float) -> DataFrame:
+    """The rows of (key, one, two, block, node, keys, n_grams) that have a pair to be intersected there.
+
+    Only the nodes' keys and sizes are shuffled for this; sets are then sent to these places alone.
+    """
+
+    def answer(group: tuple, rows: list[tuple]) -> list[tuple]:
+        wanted = own_pairs(group[0], group[1] != group[2], [r[0] for r in rows], [r[2] for r in rows], np.array([r[3] for r in rows], np.int64), similarity)
+        return [(*group, rows[k][0], rows[k][1]) for k in np.flatnonzero(wanted.any(axis=1))]
+
+    return _by_task(placed, ("block", "node", "keys", "n_grams"), "key long, one int, two int, block int, node binary", answer)
+
+
+def _verified(dealt: DataFrame, similarity: float) -> DataFrame:
+    """(node, n_links, root) of the nodes with links in a task's bucket or pair of blocks."""
+
+    def answer(group: tuple, rows: list[tuple]) -> list[tuple]:
+        sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+        wanted = own_pairs(group[0], group[1] != group[2], [r[0] for r in rows], [r[2] for r in rows], np.array([len(s) for s in sets], np.int64), similarity)
+        linked = links_within(wanted, sets, similarity)
+        counts, root = linked @ np.array([r[4] for r in rows], np.int64), _roots(linked)
+        return [(rows[k][1], int(counts[k]), rows[root[k]][1]) for k in np.flatnonzero(linked.any(axis=1))]
 
-def _links(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [[], [], []]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.binary()), strict=True)], names=["node", "n_links", "root"])
+    return _by_task(dealt, ("block", "node", "keys", "grams", "documents"), "node binary, n_links long, root binary", answer)
 
 
 def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
@@ -322,7 +351,8 @@ def _classed(df: DataFrame, doc_id: str, text: str, n: int = WORDS, similarity:
     placed = dealt_join(members, sizes.select("key", "members", blocks.alias("blocks")), "key", "members").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("key", "node", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
-    links = durable(_verified(placed.join(durable(held), "node"), similarity))
+    own = _with_pairs(placed.join(wanted.select("node", "keys", "n_grams"), "node"), similarity)
+    links = durable(_verified(own.join(durable(held), "node"), similarity))
     linked = components(links.select(F.col("node").alias("u"), F.col("root").alias("v")))
     within = durable(linked.join(nodes.select("node", "least"), "node"))
     of_root = within.groupBy("root").agg(F.min(F.struct("least", "node")).alias("first"), F.count("*").alias("members"))

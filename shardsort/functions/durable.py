@@ -37,11 +37,13 @@ def own_path(spark: SparkSession, kind: str) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder."""
-    context = df.sparkSession.sparkContext
-    folder = shared_folder(df.sparkSession)
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(folder)
+    """Checkpoint into the shared folder (below it, in a folder that is deleted when the process ends)."""
+    spark = df.sparkSession
+    jvm_context = spark.sparkContext._jsc.sc()
+    if not jvm_context.getCheckpointDir().isDefined():
+        path = own_path(spark, "checkpoint")
+        if not jvm_context.getCheckpointDir().isDefined():
+            spark.sparkContext.setCheckpointDir(path)
     return df.checkpoint(eager=True)
 
 

@@ -355,3 +355,29 @@ def test_the_shared_folder_is_needed_on_a_cluster():
     context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: held)))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context))
+
+
+def test_frames_are_sorted_into_exact_partitions(spark):
+    rows = [(k, f"{k * 7919 % 1000:04d} line") for k in range(500)] + [(500, None)]
+    parts = job.sort_frame(spark.createDataFrame(rows, "id long, line string"), "line", 5, "id")
+    assert parts.rdd.getNumPartitions() == 5
+    assert [r["id"] for r in parts.collect()] == [k for k, _ in sorted(rows, key=lambda r: ((r[1] or "")[:10].ljust(10), r[0]))]
+
+
+def test_own_folders_are_deleted_at_the_end(tmp_path):
+    """In a process of its own, with a shared folder that belongs to somebody else."""
+    import subprocess
+    import sys
+
+    code = f"""
+from pyspark.sql import SparkSession
+from shardsort.functions.durable import durable, written
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {str(tmp_path)!r}).getOrCreate()
+assert durable(written(spark.range(5))).count() == 5
+import pathlib
+print("held", len(list(pathlib.Path({str(tmp_path)!r}).iterdir())))
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=200, cwd=Path(__file__).resolve().parent.parent)
+    left = [p.name for p in tmp_path.iterdir()]
+    assert "held" in done.stdout and "held 0" not in done.stdout, done.stderr[-2000:]
+    assert not [name for name in left if name.startswith(("table-", "checkpoint-"))]

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shardsort import cli
 from shardsort.functions import records
 from shardsort.functions.durable import own_path
 from shardsort.operators import exchange, partitioning, pivots, sampling, sinks, sorting, validate
@@ -243,6 +244,14 @@ def record_sort(spark, sf_dir):
     return sorting.global_position(read, ["file", "index"]).select("pos", F.hex("key").alias("key_hex"))
 
 
+def command_line(spark, sf_dir):
+    """The same by the command line, with as many draws from every file."""
+    out = own_path(spark, "sorted")
+    cli.main(["-I", _record_files(spark, sf_dir), "-O", out, "--partitions", str(PARTITIONS), "--binary", "--sampling", "equal", "--seed", str(SEED)])
+    read = binary.read_records(spark, [out]).withColumn("file", _pid_of("source"))
+    return sorting.global_position(read, ["file", "index"]).select("pos", F.hex("key").alias("key_hex"))
+
+
 def record_offsets(spark, sf_dir):
     """Whole records in the bytes of each text, and where the record of the document's number begins."""
     size = F.octet_length("text")
@@ -277,7 +286,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         scan_lines, key_extract, byte_key_extract, record_normalize, chunk_assign, chunk_sort, total_order_position, kway_merge,
         sample_budget, sample_keys, pivot_select, partition_assign, partition_offsets, partition_sizes, shuffle_matrix, shuffle_pages,
         shuffle_page_rows, local_rows, final_merge, order_violations, conservation_checksum, duplicate_keys, sink_roundtrip, sink_files,
-        scan_folders, merge_files, sort_job, map_side, binary_roundtrip, record_by_index, record_sort, record_offsets, random_offsets,
+        scan_folders, merge_files, sort_job, map_side, binary_roundtrip, record_by_index, record_sort, command_line, record_offsets, random_offsets,
         sample_budget_none, samples_sorted, sample_pivots,
     )
     return {f.__name__: f for f in listed}
@@ -355,6 +364,7 @@ def oracle_sql() -> dict[str, str]:
             WITH {_RECORDS}, w AS (SELECT pid, unnest([0, 0, n - 1, n // 2]) AS index FROM (SELECT DISTINCT pid, n FROM stored))
             SELECT w.pid, w.index, hex(substr(r, 1, 10)) AS key_hex FROM w JOIN stored ON stored.pid = w.pid AND stored.idx = w.index""",
         "record_sort": f"WITH {_RECORDS} SELECT row_number() OVER (ORDER BY r) AS pos, hex(substr(r, 1, 10)) AS key_hex FROM rec",
+        "command_line": f"WITH {_RECORDS} SELECT row_number() OVER (ORDER BY r) AS pos, hex(substr(r, 1, 10)) AS key_hex FROM rec",
         "record_offsets": "SELECT doc_id, (strlen(text) // 100)::BIGINT AS n_records, doc_id * 100 AS byte_offset FROM documents",
         "random_offsets": f"""
             SELECT doc_id, ('0x' || substr(md5('{SEED}|' || doc_id), 1, 15))::BIGINT % (strlen(text) // 100)::BIGINT * 100 AS byte_offset FROM documents WHERE strlen(text) >= 100""",

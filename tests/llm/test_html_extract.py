@@ -248,3 +248,37 @@ def test_hosts_as_the_url_filter_has_them(spark):
     df = spark.createDataFrame([(u,) for u in urls], "url string")
     got = {r["url"]: r["host"] for r in df.withColumn("host", html_extract.host_of(df["url"])).collect()}
     assert got == {u: split_url(u)[0] for u in urls}
+
+
+TREES = ["ash", "oak", "elm", "fir", "yew", "box"]
+SAID = "<div class=c><div class=who>user {k}{w}</div><div class=what>I say {k} {w}</div></div>"
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (
+            "<body><header>Site</header><nav><a>Home</a></nav><main><article><h1>{w}</h1><p>All on {w}</p><figure><img><figcaption>Pic {w}</figcaption></figure><form>Mail <input></form>"
+            "<p>End {w}</p></article><aside>More {w}</aside><section id=comments><p>Hi {w}</p></section></main><footer>c</footer>",
+            ["{w}", "All on {w}", "Pic {w}", "End {w}"],
+        ),
+        (
+            "<body><div id=top>Site name</div><div class=menu><a>Home</a></div><div id=content><h1>{w}</h1><p>All on {w}, long enough</p></div><div id=sidebar>Popular: {w}</div><div id=footer>All rights {w}</div>",
+            ["{w}", "All on {w}, long enough"],
+        ),
+        ("<table><tr><td>Menu</td><td><h1>{w}</h1><p>Story of {w}</p></td></tr></table>", ["{w}", "Story of {w}"]),
+        (
+            "<article><h1>{w}</h1><ul><li>one {w}<li>two {w}</ul><ol><li><a href=x>ref {w}</a></ol></article><ul class=links><li><a>a {w}</a><li><a>b</a></ul>",
+            ["{w}", "one {w}", "two {w}", "ref {w}"],
+        ),
+        ("<article><h1>{w}</h1><p>Text of {w} is here and it is long</p><div class=thread>{said}</div></article>", ["{w}", "Text of {w} is here and it is long"]),
+        ("<body><div class=post><h1>{w}</h1><p>Text of {w} is here and it is long</p></div><div class=thread>{said}</div>", ["{w}", "Text of {w} is here and it is long"]),
+        ("<div class=wrap><div class='css-{w}'><p>Para {w} one</p><p>Para {w} two</p></div><div class=cookie-banner>We use</div></div>", ["Para {w} one", "Para {w} two"]),
+        ("<body><div class=crumbs><a>Home</a> &gt; <a>{w}</a></div><article><p>Body {w}</p></article>", ["Body {w}"]),
+    ],
+)
+def test_pages_of_many_kinds(page, want):
+    """What a reader takes for the article, on six pages of a host."""
+    pages = [html_extract.parse(page.replace("{said}", "".join(SAID.replace("{k}", str(k)) for k in range(1 + n % 3))).replace("{w}", w)) for n, w in enumerate(TREES)]
+    template = template_of(*pages)
+    assert [html_extract.main_text(p, template) for p in pages] == ["\n\n".join(want).replace("{w}", w) for w in TREES]

@@ -95,7 +95,7 @@ def sort_lines(
     else:
         pivots = (equal_pivots if sampling == "equal" else lambda df, *rest: sampled_pivots(df, "key", *rest))(lines, partitions, budget, seed)
     seen = Observation()
-    done = write_partitions(lines.observe(seen, F.count("*").alias("rows")), output, pivots)
+    done = write_partitions(lines.select("line", "key").observe(seen, F.count("*").alias("rows")), output, pivots)
     sizes = dict(written_files(spark, output))
     rows = sum(sizes.values()) // RECORD_LEN if not _wide(sizes, done) else done["rows"]
     if seen.get["rows"] != rows and (read := lines.count()) != rows:  # counts of tasks that ran twice may be too large

@@ -36,7 +36,7 @@ def seekable(paths: Sequence[str]) -> bool:
     try:
         for path in {re.match(r"(\w+:/+[^/]*)?", p)[0]: p for p in paths}.values():
             opened(path)
-    except (pa.ArrowException, OSError, ImportError):
+    except (pa.ArrowException, OSError):
         return False
     return True
 

@@ -33,9 +33,9 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of every conversation, and of conversation -7, read back from its formatted text (see `chat.chat_digests`)."""
+    """Digests of every conversation, and of conversation -7, read back from its formatted text (see `chat.digests`)."""
     turns = chat.with_probe(table(spark, sf_dir, "conversations"))
-    return chat.chat_digests(chat.format_chats(chat.events_of(turns)))
+    return chat.digests(chat.events_of(turns))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

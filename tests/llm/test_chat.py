@@ -4,6 +4,7 @@ from collections import defaultdict
 
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from shardsort.llm import chat
 
@@ -59,9 +60,29 @@ def test_events_fold_like_the_rule(spark):
     assert {c: got[c] for c in by_conv} == {c: fold(e) for c, e in by_conv.items()}
 
 
+def test_long_conversations_are_dealt_and_give_the_same(spark):
+    rng, rows = random.Random(4), []
+    for conv, n in [(1, 300), (2, 5), (None, 120), (3, 90), (4, 60)]:
+        for seq in range(n):
+            turn = None if conv == 4 or rng.random() < 0.05 else rng.randrange(1 + n // 4)
+            kind = "regenerate" if rng.random() < 0.02 else rng.choice(["message", "delta", "edit", None])
+            rows.append((conv, None if rng.random() < 0.05 else seq, turn, kind, rng.choice(["user", "assistant", None]), rng.choice([f"t{seq} </s>", None, ""]), "x"))
+    rows += rows[:40]
+    rng.shuffle(rows)
+    log = spark.createDataFrame(rows, EVENTS).repartition(3)
+    once, dealt = (sorted(map(tuple, chat.format_chats(log, hot).collect()), key=repr) for hot in (1000, 20))
+    assert once == dealt and len(once) > 50
+    one, other = (sorted(map(tuple, chat.digests(log, hot).collect()), key=repr) for hot in (1000, 20))
+    assert one == other and len(one) == 5
+    keyed = log.withColumn("key", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
+    placed, _ = chat._parts(keyed, keyed.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 20"), 20)
+    spread = {r["conv_id"]: r["n"] for r in placed.groupBy("conv_id").agg(F.count_distinct("part").alias("n")).collect()}
+    assert spread[1] > 10 and spread[3] > 2 and spread[4] == 1 and 2 not in spread
+
+
 def test_nulls_ties_and_repeats(spark):
     rows = [(1, 0, 0, None, None, None, None), (1, 0, 0, None, "assistant", "b", None), (1, 0, 0, None, "assistant", "b", None), (None, None, None, None, "user", "x", None), (2, 0, 0, "edit", "user", "lost", None), (3, 1, 1, "unknown", "user", "lost", None)]
-    got = {r["conv_id"]: r for r in chat.chat_digests(chat.format_chats(spark.createDataFrame(rows, EVENTS))).collect()}
+    got = {r["conv_id"]: r for r in chat.digests(spark.createDataFrame(rows, EVENTS)).collect()}
     assert set(got) == {1, None} and got[1]["n_turns"] == 3 and got[1]["loss_chars"] == 2
     assert got[1]["loss_sha256"] == hashlib.sha256(b"bb").hexdigest()
     assert got[None]["turns_sha256"] == hashlib.sha256(b"user\nx\n").hexdigest()
@@ -69,7 +90,7 @@ def test_nulls_ties_and_repeats(spark):
 
 def test_the_probe(spark, small):
     turns = chat.with_probe(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
-    [row] = chat.chat_digests(chat.format_chats(chat.events_of(turns))).collect()
+    [row] = chat.digests(chat.events_of(turns)).collect()
     said = "</s>[INST] ok [/INST]"
     assert row["conv_id"] == -7 and row["n_turns"] == 2 and row["loss_chars"] == len(said)
     assert row["turns_sha256"] == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
@@ -77,7 +98,7 @@ def test_the_probe(spark, small):
 
 def test_a_long_conversation_streams(spark):
     turns = spark.range(20_000).selectExpr("7L conv_id", "id turn", "if(id % 2 = 0, 'user', 'assistant') role", "concat('text ', id) text")
-    [row] = chat.chat_digests(chat.format_chats(chat.events_of(turns))).collect()
+    [row] = chat.digests(chat.events_of(turns)).collect()
     assert row["n_turns"] == 20_000
 
 

@@ -7,6 +7,10 @@ one is worked on. Only the nodes of shared buckets have their n-gram sets fetche
 pair is verified in the first bucket that it shares; a set is sent only where its node has such a
 pair. A crowded bucket is dealt in pairs of blocks, a
 task each; tasks hand on a count of links and one edge for each node, never pairs.
+
+Where classes alone are asked for, the nodes of crowded buckets are first compared with a hub each, and
+those that can have no link in another component are taken out by bounds; only pairs of different
+components are verified after that.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardsort.llm.common import KeyFilter, arrow_rows, bounded_batches, dealt_join, durable, fresh, salted_join, widened
+from shardsort.llm.common import KeyFilter, arrow_rows, bounded_batches, dealt_join, durable, fresh, salted_join, widened, written
 from shardsort.llm.components import components
 
 #: Words of an n-gram, least similarity of a link, and the probability to find a link just there.
@@ -31,6 +35,8 @@ WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9999
 USUAL_HASHES = 128
 #: Nodes and n-grams in one block of a bucket.
 BLOCK_NODES, BLOCK_GRAMS = 256, 400_000
+#: N-grams that are counted together, turns of comparing with hubs at most, and the share of nodes that must link for another turn.
+CHUNK_GRAMS, HUB_TURNS, HUB_SHARE = 10_000, 6, 0.1
 #: So many pairs are intersected one by one, more all together.
 FEW_PAIRS = 10
 #: Dropped identifiers that may be sent to every task.
@@ -209,18 +215,21 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     return shared
 
 
-def own_pairs(key: int, across: bool, block: list[int], keys: list[list[int]], size: np.ndarray, similarity: float) -> np.ndarray:
+def own_pairs(key: int, across: bool, block: list[int], keys: list[list[int]], size: np.ndarray, similarity: float, component: list[bytes | None]) -> np.ndarray:
     """Which pairs of a bucket's nodes are to be intersected here, as a matrix.
 
     Here is where `key` is the smallest bucket that both are in and, in a task across two blocks,
-    where they lie in different ones. Pairs that belong elsewhere, or whose sizes differ too much for the
-    similarity, are not intersected.
+    where they lie in different ones. Pairs that belong elsewhere, whose sizes differ too much for the
+    similarity, or that are known to be of one component (null: unknown) are not intersected.
     """
     wanted = np.minimum.outer(size, size) >= similarity * np.maximum.outer(size, size) - 1e-9
     np.fill_diagonal(wanted, False)
     if across:  # one of the blocks may be empty
         number = np.array(block)
         wanted &= number[:, None] != number[None, :]
+    if component[0] is not None:
+        number = np.unique(np.array(component, object), return_inverse=True)[1]
+        wanted &= number[:, None] != number[None, :]
     earlier: dict[int, list[int]] = {}
     for k, own in enumerate(keys):
         for other in own:
@@ -293,16 +302,16 @@ def _by_task(dealt: DataFrame, columns: tuple[str, ...], schema: str, answer) ->
 
 
 def _with_pairs(placed: DataFrame, similarity: float) -> DataFrame:
-    """The rows of (key, one, two, block, node, keys, n_grams) that have a pair to be intersected there.
+    """The rows of (key, one, two, block, node, component, keys, n_grams) that have a pair to be intersected there.
 
     Only the nodes' keys and sizes are shuffled for this; sets are then sent to these places alone.
     """
 
     def answer(group: tuple, rows: list[tuple]) -> list[tuple]:
-        wanted = own_pairs(group[0], group[1] != group[2], [r[0] for r in rows], [r[2] for r in rows], np.array([r[3] for r in rows], np.int64), similarity)
-        return [(*group, rows[k][0], rows[k][1]) for k in np.flatnonzero(wanted.any(axis=1))]
+        wanted = own_pairs(group[0], group[1] != group[2], [r[0] for r in rows], [r[2] for r in rows], np.array([r[3] for r in rows], np.int64), similarity, [r[4] for r in rows])
+        return [(*group, rows[k][0], rows[k][1], rows[k][4]) for k in np.flatnonzero(wanted.any(axis=1))]
 
-    return _by_task(placed, ("block", "node", "keys", "n_grams"), "key long, one int, two int, block int, node binary", answer)
+    return _by_task(placed, ("block", "node", "keys", "n_grams", "component"), "key long, one int, two int, block int, node binary, component binary", answer)
 
 
 def _verified(dealt: DataFrame, similarity: float) -> DataFrame:
@@ -310,12 +319,193 @@ def _verified(dealt: DataFrame, similarity: float) -> DataFrame:
 
     def answer(group: tuple, rows: list[tuple]) -> list[tuple]:
         sets = [np.frombuffer(r[3], np.uint64) for r in rows]
-        wanted = own_pairs(group[0], group[1] != group[2], [r[0] for r in rows], [r[2] for r in rows], np.array([len(s) for s in sets], np.int64), similarity)
+        wanted = own_pairs(group[0], group[1] != group[2], [r[0] for r in rows], [r[2] for r in rows], np.array([len(s) for s in sets], np.int64), similarity, [r[5] for r in rows])
         linked = links_within(wanted, sets, similarity)
         counts, root = linked @ np.array([r[4] for r in rows], np.int64), _roots(linked)
         return [(rows[k][1], int(counts[k]), rows[root[k]][1]) for k in np.flatnonzero(linked.any(axis=1))]
 
-    return _by_task(dealt, ("block", "node", "keys", "grams", "documents"), "node binary, n_links long, root binary", answer)
+    return _by_task(dealt, ("block", "node", "keys", "grams", "documents", "component"), "node binary, n_links long, root binary", answer)
+
+
+def _gram_digests(grams: np.ndarray) -> list[bytes]:
+    """Sixteen bytes of each n-gram, for a KeyFilter."""
+    with np.errstate(over="ignore"):
+        mixed = (grams ^ (grams >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    held = np.stack([grams, mixed ^ (mixed >> np.uint64(29))], axis=1).tobytes()
+    return [held[k : k + 16] for k in range(0, len(held), 16)]
+
+
+def _extremes(grams: np.ndarray, halves: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct n-grams, and of each the least or greatest of every column of `halves` (least and greatest take turns)."""
+    order = np.argsort(grams, kind="stable")
+    distinct, first = np.unique(grams[order], return_index=True)
+    return distinct, [(np.maximum if k % 2 else np.minimum).reduceat(h[order], first) for k, h in enumerate(halves)]
+
+
+def _common_grams(sets: DataFrame) -> KeyFilter:
+    """Filter of the n-grams that nodes of two components or more hold; sets have node, component and grams.
+
+    A task hands on its distinct n-grams with the least and greatest component, packed by ranges of n-grams.
+    """
+    occurrences = sets.agg(F.sum("n_grams")).head()[0] or 0
+    chunks = max(1, -(-occurrences // CHUNK_GRAMS))
+
+    def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, of, held = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            half = np.frombuffer(b"".join(of), np.uint64).reshape(-1, 2)
+            owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+            one, two = half[owner, 0], half[owner, 1]
+            distinct, columns = _extremes(np.concatenate(grams), [one, one, two, two])
+            table, chunk = np.stack([distinct, *columns], axis=1), (distinct % np.uint64(chunks)).astype(np.int64)
+            there = np.unique(chunk)
+            return pa.RecordBatch.from_arrays([pa.array(there), pa.array([table[chunk == c].tobytes() for c in there], pa.binary())], names=["chunk", "packed"])
+
+        for batch in batches:
+            for component, gram in arrow_rows(batch, "component", "grams"):
+                grams.append(np.frombuffer(gram, np.uint64))
+                of.append(component)
+                held += len(grams[-1])
+                if held >= 1 << 20:
+                    yield flush()
+                    grams, of, held = [], [], 0
+        if grams:
+            yield flush()
+
+    def common(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tables = None, []
+
+        def merged() -> pa.RecordBatch:
+            table = np.concatenate([np.frombuffer(t, np.uint64).reshape(-1, 5) for t in tables]) if tables else np.zeros((0, 5), np.uint64)
+            if not len(table):
+                return pa.RecordBatch.from_arrays([pa.array([], pa.binary())], names=["digest"])
+            distinct, (a, b, c, d) = _extremes(table[:, 0], [table[:, k] for k in range(1, 5)])
+            return pa.RecordBatch.from_arrays([pa.array(_gram_digests(distinct[(a < b) | (c < d)]), pa.binary())], names=["digest"])
+
+        for batch in batches:
+            for chunk, table in arrow_rows(batch, "chunk", "packed"):
+                if chunk != now:
+                    yield merged()
+                    now, tables = chunk, []
+                tables.append(table)
+        yield merged()
+
+    chunked = sets.select("component", "grams").mapInArrow(packed, "chunk long, packed binary")
+    return KeyFilter.over(durable(chunked.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(common, "digest binary")), "digest")
+
+
+def _with_component(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Rows with the component of their node, which is the node itself where no edge is known."""
+    if labels is None:
+        return rows.withColumn("component", F.col("node"))
+    named = rows.join(labels.select("node", "root"), "node", "left")
+    return named.withColumn("component", F.coalesce("root", "node")).drop("root")
+
+
+def _hub_links(crowded: DataFrame, held: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What comparing the nodes of crowded buckets with hubs tells: links, components, and the rows left.
+
+    In each turn every bucket names a hub, of its component with most nodes there: first a node whose
+    n-grams are mostly common, later any. A node of another component is compared with one hub, so a
+    turn takes a row for each node, however large the buckets are. Before that, nodes that can have no link to
+    another component of the bucket are taken out of it: an n-gram that no other component holds cannot
+    be shared, which bounds the intersection (with a false answer of the filter it is only bounded less).
+    What (key, node) rows are left have to be verified, where their components still differ.
+    """
+    sets = durable(held.select("node", "n_grams", "grams").join(crowded.select("node").distinct(), "node"))
+    rows, links, labels = crowded.select("key", "node"), None, None
+    for turn in range(HUB_TURNS):
+        state = rows.groupBy("node").agg(F.collect_list("key").alias("keys")).join(sets, "node")
+        state = durable(_with_component(state, labels))
+        admits = _common_grams(state)
+        sent = crowded.sparkSession.sparkContext.broadcast((admits.bits, admits.words))
+
+        def held_in_common(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            passing = KeyFilter(*sent.value)
+            for batch in batches:
+                common = [int(passing.may_hold(_gram_digests(np.frombuffer(g, np.uint64))).sum()) for (g,) in arrow_rows(batch, "grams")]
+                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in ("node", "component", "n_grams", "keys")), pa.array(common, pa.int64())], names=["node", "component", "n_grams", "keys", "common"])
+
+        bounded = state.select("node", "component", "n_grams", "keys", "grams").mapInArrow(held_in_common, "node binary, component binary, n_grams long, keys array<long>, common long")
+        rows = durable(bounded.withColumn("places", F.size("keys")).withColumn("key", F.explode("keys")).drop("keys"))
+        score = (F.col("common") / F.col("n_grams"), F.col("places")) if not turn else (F.xxhash64("node", F.lit(turn)),)
+        parts = rows.groupBy("key", "component").agg(F.count("*").alias("nodes"), F.min("n_grams").alias("least"), F.max("n_grams").alias("most"), F.max("common").alias("common"), F.max(F.struct(*(c.alias(f"s{k}") for k, c in enumerate(score)), "node")).alias("best"))
+        buckets = parts.groupBy("key").agg(F.sum("nodes").alias("members"), F.min("least").alias("least"), F.max("most").alias("most"), F.max("common").alias("most_common"), F.max(F.struct("nodes", "best", "component")).alias("main"), F.count("*").alias("components"))
+        rows = dealt_join(rows, buckets.filter("components > 1"), "key", "members")
+        # The largest possible similarity to a set of that bucket: with one of as many n-grams as can be shared, or the next there is.
+        both = F.least("common", "most_common")
+        other = F.least(F.greatest(both, "least"), "most")
+        both = F.least(both, other)
+        rows = written(rows.filter(both >= similarity * (F.col("n_grams") + other - both) - 1e-9))
+        asked = rows.filter("component != main.component").groupBy("node").agg(F.max("main.best").alias("best")).select("node", F.col("best.node").alias("hub"))
+        asked = durable(asked.join(sets.select("node", "grams"), "node"))
+        hubs = asked.groupBy("hub").agg(F.count("*").alias("asked")).join(sets.select(F.col("node").alias("hub"), F.col("grams").alias("of_hub")), "hub")
+
+        def compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                near = []
+                for node, hub, one, two in arrow_rows(batch, "node", "hub", "grams", "of_hub"):
+                    one, two = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
+                    both = len(np.intersect1d(one, two, assume_unique=True))
+                    if both >= similarity * (len(one) + len(two) - both) - 1e-9:
+                        near.append((node, hub))
+                yield pa.RecordBatch.from_arrays([pa.array([n[k] for n in near], pa.binary()) for k in (0, 1)], names=["node", "root"])
+
+        # A table, as checkpoints hand on constraints, and these multiply from turn to turn.
+        found = written(dealt_join(asked, hubs, "hub", "asked", hot=BLOCK_NODES).select("node", "hub", "grams", "of_hub").mapInArrow(compared, "node binary, root binary"))
+        linked = found.count()
+        if linked or links is None:
+            links = found if links is None else links.unionByName(found)
+            labels = written(components(links.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+        if linked <= HUB_SHARE * asked.count():
+            break
+    return links, labels, rows.select("key", "node", "n_grams")
+
+
+def _class_links(members: DataFrame, wanted: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """(node, root): links enough to make the classes.
+
+    Of a crowded bucket, the component with most nodes there meets the others, and these each other; it does not meet itself.
+    """
+    rows = durable(members.join(wanted.select("node", "n_grams"), "node"))
+    crowd = rows.groupBy("key").agg(F.count("*").alias("members"), F.sum("n_grams").alias("all_grams"))
+    marked = durable(dealt_join(rows, crowd.filter((F.col("members") > BLOCK_NODES) | (F.col("all_grams") > BLOCK_GRAMS)).select("key", "members"), "key", "members", "left"))
+    crowded = marked.filter("members is not null")
+    attributes = wanted.select("node", "keys", "n_grams")
+    links = None
+    if crowded.isEmpty():
+        zero = F.lit(0)
+        placed = rows.select("key", "node", F.lit(None).cast("binary").alias("component"), zero.alias("block"), zero.alias("one"), zero.alias("two"))
+    else:
+        links, labels, left = _hub_links(crowded, held, similarity)
+        rows = written(_with_component(marked.filter("members is null").select("key", "node", "n_grams").unionByName(left), labels))
+        parts = rows.groupBy("key", "component").agg(F.count("*").alias("nodes"), F.sum("n_grams").alias("grams"))
+        buckets = parts.groupBy("key").agg(F.sum("nodes").alias("members"), F.sum("grams").alias("all_grams"), F.max(F.struct("nodes", "grams", "component")).alias("main"), F.count("*").alias("components")).filter("components > 1")
+        count = lambda nodes, grams: F.greatest(F.ceil(nodes / BLOCK_NODES), F.ceil(grams / BLOCK_GRAMS)).cast("int")
+        alone = count(F.col("members"), F.col("all_grams")) <= 1
+        others = F.when(alone, 1).otherwise(count(F.col("members") - F.col("main.nodes"), F.col("all_grams") - F.col("main.grams")))
+        mains = F.when(alone, 0).otherwise(count(F.col("main.nodes"), F.col("main.grams")))
+        placed = dealt_join(rows, buckets.select("key", "members", F.col("main.component").alias("main"), others.alias("others"), mains.alias("mains")), "key", "members")
+        in_main = (F.col("mains") > 0) & (F.col("component") == F.col("main"))
+        spread = F.xxhash64("node")
+        placed = placed.withColumn("block", F.when(in_main, F.col("others") + F.pmod(spread, F.greatest("mains", F.lit(1)))).otherwise(F.pmod(spread, F.col("others"))).cast("int"))
+        placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(in_main, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1)))
+        placed = placed.select("key", "node", "component", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+    own = _with_pairs(placed.join(attributes, "node"), similarity)
+    verified = _verified(own.join(held, "node"), similarity).select("node", "root")
+    return written(verified if links is None else links.unionByName(verified))
+
+
+def _counted_links(members: DataFrame, wanted: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """(node, n_links, root) of the nodes with links, from every pair of every bucket."""
+    sizes = members.join(wanted.select("node", "n_grams"), "node").groupBy("key").agg(F.count("*").alias("members"), F.sum("n_grams").alias("all_grams"))
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK_NODES), F.ceil(F.col("all_grams") / BLOCK_GRAMS)).cast("int")
+    placed = dealt_join(members, sizes.select("key", "members", blocks.alias("blocks")), "key", "members").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("key", "node", F.lit(None).cast("binary").alias("component"), "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+    own = _with_pairs(placed.join(wanted.select("node", "keys", "n_grams"), "node"), similarity)
+    return durable(_verified(own.join(held, "node"), similarity))
 
 
 def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
@@ -332,8 +522,11 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
     return _classed(df, doc_id, text, n, similarity, recall).select("doc_id", "class_id", "n_links")
 
 
-def _classed(df: DataFrame, doc_id: str, text: str, n: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """The same with the node of each row, null without words, and the node of its class that stays."""
+def _classed(df: DataFrame, doc_id: str, text: str, n: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, counting: bool = True) -> DataFrame:
+    """The same with the node of each row, null without words, and the node of its class that stays.
+
+    Without counting n_links is not there.
+    """
     bounded_batches(df.sparkSession)
     bands, rows = bands_for(similarity, recall)
     source = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
@@ -346,27 +539,24 @@ def _classed(df: DataFrame, doc_id: str, text: str, n: int = WORDS, similarity:
     wanted = durable(of_node.join(nodes.select("node", "least", "documents", "n_grams"), "node"))
     sets = _sets(source, wanted.select(F.col("least").alias("id")), n).withColumn("least", F.coalesce("id", F.lit(_NO_ID)))
     held = wanted.join(sets.select("node", "least", "grams"), ["node", "least"]).dropDuplicates(["node"])
-    sizes = members.join(wanted.select("node", "n_grams"), "node").groupBy("key").agg(F.count("*").alias("members"), F.sum("n_grams").alias("all_grams"))
-    blocks = F.greatest(F.ceil(F.col("members") / BLOCK_NODES), F.ceil(F.col("all_grams") / BLOCK_GRAMS)).cast("int")
-    placed = dealt_join(members, sizes.select("key", "members", blocks.alias("blocks")), "key", "members").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("key", "node", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
-    own = _with_pairs(placed.join(wanted.select("node", "keys", "n_grams"), "node"), similarity)
-    links = durable(_verified(own.join(durable(held), "node"), similarity))
+    held = durable(held)
+    links = (_counted_links if counting else _class_links)(members, wanted, held, similarity)
     linked = components(links.select(F.col("node").alias("u"), F.col("root").alias("v")))
     within = durable(linked.join(nodes.select("node", "least"), "node"))
     of_root = within.groupBy("root").agg(F.min(F.struct("least", "node")).alias("first"), F.count("*").alias("members"))
     named = dealt_join(within.select("root", "node"), of_root, "root", "members").select("node", F.col("first.least").alias("class"), F.col("first.node").alias("stays"))
-    counted = links.groupBy("node").agg(F.sum("n_links").alias("found"))
-    found = nodes.select("node", "least", "documents").join(counted, "node", "left").join(named, "node", "left")
+    found = nodes.select("node", "least", "documents").join(named, "node", "left")
+    if counting:
+        found = found.join(links.groupBy("node").agg(F.sum("n_links").alias("found")), "node", "left")
     joined = dealt_join(signed.select("id", "node"), found, "node", "documents", "left")
     least = F.coalesce("class", "least")
+    n_links = F.coalesce(F.col("documents") - 1 + F.coalesce("found", F.lit(0)), F.lit(0)).alias("n_links") if counting else None
     return joined.select(
         F.col("id").alias("doc_id"),
         "node",
         F.coalesce("stays", "node").alias("stays"),
         F.when(F.col("node").isNull(), F.col("id")).otherwise(F.when(least != _NO_ID, least)).alias("class_id"),
-        F.coalesce(F.col("documents") - 1 + F.coalesce("found", F.lit(0)), F.lit(0)).alias("n_links"),
+        *([n_links] if counting else []),
     )
 
 
@@ -380,7 +570,7 @@ def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     beyond that the joins are shuffled.
     """
     key, node, state = (fresh(df, name) for name in ("id_key", "node", "state"))
-    found = durable(_classed(df, doc_id, text))
+    found = durable(_classed(df, doc_id, text, counting=False))
     stays = F.col("node").isNull() | (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("stays")))
     told = found.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias(key), "node", stays.alias("stays"))
     ids = told.groupBy(key).agg(F.count("*").alias("rows"), F.count_if("stays").alias("staying"))

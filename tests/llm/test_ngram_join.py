@@ -131,6 +131,69 @@ def test_one_of_each_class_stays(docs, rows):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter(plain[i][0] for i in grouped(plain)[2].values())
 
 
+def edited(rng, base, edits):
+    """The words with so many of them replaced by words of no other text."""
+    words = list(base)
+    for at in rng.sample(range(len(words)), edits):
+        words[at] = f"x{rng.randrange(1 << 40)}"
+    return words
+
+
+def kept_ids(spark, rows):
+    return Counter(r["doc_id"] for r in ngram_join.keep_one(frame(spark, rows)).collect())
+
+
+def least_ids(rows):
+    return Counter(rows[i][0] for i in grouped(rows)[2].values())
+
+
+def test_rows_to_verify_grow_with_the_group_not_its_square(spark, monkeypatch):
+    """Near copies of one text that only link it, and others that are too far from all."""
+    monkeypatch.setattr(ngram_join, "BLOCK_NODES", 8)
+    seen, plain = [], ngram_join._with_pairs
+    monkeypatch.setattr(ngram_join, "_with_pairs", lambda placed, similarity: seen.append(placed.count()) or plain(placed, similarity))
+    for size in (60, 240):
+        rng = random.Random(size)
+        base = [f"w{k}" for k in range(60)]
+        texts = [base, *(edited(rng, base, 1) for _ in range(size)), *(edited(rng, base, 4) for _ in range(size // 4))]
+        rows = [(k, " ".join(words)) for k, words in enumerate(texts)]
+        assert kept_ids(spark, rows) == least_ids(rows)
+    assert seen[1] <= 6 * seen[0] + 400
+
+
+@pytest.mark.parametrize("nodes, grams, turns", [(5, 400_000, 6), (9, 400, 6), (5, 400_000, 1), (1, 60, 6)])
+def test_classes_of_crowded_buckets(spark, monkeypatch, nodes, grams, turns):
+    """Groups near each other, a chain that no hub reaches in one step, copies, and texts at the edge of a link."""
+    for name, value in (("BLOCK_NODES", nodes), ("BLOCK_GRAMS", grams), ("HUB_TURNS", turns), ("CHUNK_GRAMS", 300)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(nodes + turns)
+    base = [f"w{k}" for k in range(60)]
+    other = edited(rng, base, 3)
+    texts = [edited(rng, start, rng.choice([0, 1, 1, 2, 2, 3])) for start in (base, other) for _ in range(25)]
+    chain = [base]
+    for k in range(14):
+        chain.append([*chain[-1][: 4 * k], f"c{k}", *chain[-1][4 * k + 1 :]])
+    texts += chain + [base[k:] for k in range(0, 30, 3)] + [[f"q{rng.randrange(99)}" for _ in range(30)] for _ in range(10)]
+    rng.shuffle(texts)
+    rows = [(k, " ".join(words)) for k, words in enumerate(texts)]
+    assert kept_ids(spark, rows + rows[:5]) == least_ids(rows + rows[:5])
+
+
+def test_common_grams(spark):
+    """Those of two components or more, whatever the number of nodes and tasks."""
+    rng = random.Random(4)
+    gram = [rng.randrange(1 << 64) for _ in range(40)]
+    rows = [(bytes([k]) * 16, bytes([k % 3]) * 16, sorted(rng.sample(gram, 6))) for k in range(12)]
+    sets = spark.createDataFrame([(n, c, len(g), np.array(g, np.uint64).tobytes()) for n, c, g in rows], "node binary, component binary, n_grams long, grams binary")
+    for chunk in (7, 1000):
+        ngram_join.CHUNK_GRAMS, before = chunk, ngram_join.CHUNK_GRAMS
+        admits = ngram_join._common_grams(sets.repartition(5))
+        ngram_join.CHUNK_GRAMS = before
+        passing = admits.may_hold(ngram_join._gram_digests(np.array(gram, np.uint64)))
+        wanted = np.array([len({c for _, c, g in rows if x in g}) > 1 for x in gram])
+        assert (passing | ~wanted).all() and (passing & ~wanted).sum() <= 1
+
+
 def test_of_repeated_rows_one_stays(spark, monkeypatch):
     words = [f"w{k}" for k in range(60)]
     near = " ".join([*words[:30], "other", *words[31:]])
